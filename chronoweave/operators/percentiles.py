@@ -8,7 +8,7 @@ days or files add up to the counts of all, so partial results can be put togethe
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+from collections.abc import Callable, Iterable
 from fractions import Fraction
 
 from pyspark.sql import Column, DataFrame, Window
@@ -39,17 +39,15 @@ def with_range(df: DataFrame, group: str, value: str, range_rows: int = RANGE_RO
     return marked.withColumn("__range", F.coalesce(F.size(F.filter(F.array_distinct("__cuts"), lambda s: s <= F.col(value))), F.lit(0))).drop("__cuts", "__hot")
 
 
-def percentiles(df: DataFrame, group: str, value: str, marks: dict[str, Fraction], distinct_by: str | None = None, count: str | None = None, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """Percentiles of `value` per `group`: for a mark p, the smallest value with at least ceil(p n) values not above it.
+def values_at_ranks(df: DataFrame, group: str, value: str, ranks: dict[str, Callable[[Column], Column]], distinct_by: str | None = None, count: str | None = None, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """The values at given ranks (1 is the smallest) of every group; a rank is a function of the group's number n of values.
 
-    `distinct_by`: rows that repeat it within group and value count once. `count`: a column of `value_counts` weights. Null
-    and NaN values do not count; a group without any other value has no row. A null group is a group of its own. The
-    error is zero. Returns group, n and one column per mark; -0.0 counts as 0.0.
+    Returns group, n and one column per rank. See `percentiles` for what counts.
     """
     if distinct_by is not None and count is not None:
         raise ValueError("counts have no rows to tell apart")
     keep = [c for c in (distinct_by, count) if c is not None]
-    good = df.select(F.col(group), (F.col(value) + F.lit(0.0)).alias(value), *keep).where(F.col(value).isNotNull() & ~F.isnan(value))
+    good = df.select(F.col(group), (F.col(value) + F.lit(0)).alias(value), *keep).where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
     cut = with_range(good, group, value, range_rows)
     cut = cut.repartition(group, "__range")
     if distinct_by is not None:
@@ -64,12 +62,47 @@ def percentiles(df: DataFrame, group: str, value: str, marks: dict[str, Fraction
     at = run.join(offs, F.col(group).eqNullSafe(F.col("__group")) & (F.col("__range") == F.col("__r")))
     high = F.col("__before") + F.col("__sum")
     low = high - F.col("__c")
-    picks: list[tuple[str, Column]] = []
-    for name, p in marks.items():
-        num, den = Fraction(p).numerator, Fraction(p).denominator
-        rank = F.greatest(F.lit(1), F.expr(f"(n * {num}L + {den - 1}L) div {den}L"))
-        picks.append((name, F.when((low < rank) & (rank <= high), F.col(value))))
+    picks = [(name, F.when((low < rank(F.col("n"))) & (rank(F.col("n")) <= high), F.col(value))) for name, rank in ranks.items()]
     hit = picks[0][1].isNotNull()
     for _, c in picks[1:]:
         hit = hit | c.isNotNull()
     return at.where(hit).select(group, "n", *[c.alias(name) for name, c in picks]).groupBy(group).agg(F.max("n").alias("n"), *[F.max(name).alias(name) for name, _ in picks])
+
+
+def percentiles(df: DataFrame, group: str, value: str, marks: dict[str, Fraction], distinct_by: str | None = None, count: str | None = None, range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Percentiles of `value` per `group`: for a mark p, the smallest value with at least ceil(p n) values not above it.
+
+    `distinct_by`: rows that repeat it within group and value count once. `count`: a column of `value_counts` weights. Null
+    and NaN values do not count; a group without any other value has no row. A null group is a group of its own. The
+    error is zero. Returns group, n and one column per mark; -0.0 counts as 0.0.
+    """
+
+    def at(p: Fraction) -> Callable[[Column], Column]:
+        num, den = Fraction(p).numerator, Fraction(p).denominator
+        return lambda n: F.greatest(F.lit(1).cast("long"), F.call_function("div", n * F.lit(num) + F.lit(den - 1), F.lit(den).cast("long")))
+
+    return values_at_ranks(df, group, value, {name: at(p) for name, p in marks.items()}, distinct_by, count, range_rows)
+
+
+def interpolated(df: DataFrame, group: str, value: str, marks: dict[str, Fraction], method: str = "linear", range_rows: int = RANGE_ROWS) -> DataFrame:
+    """Percentiles with interpolation between the two values around position (n - 1) p: 'linear', 'lower', 'higher',
+    'nearest' (below one half the lower) or 'midpoint'. Exact, and no group is collected anywhere."""
+    ranks: dict[str, Callable[[Column], Column]] = {}
+    for name, p in marks.items():
+        num, den = Fraction(p).numerator, Fraction(p).denominator
+
+        def low(n: Column, num: int = num, den: int = den) -> Column:
+            return F.call_function("div", (n - 1) * F.lit(num), F.lit(den).cast("long")) + 1
+
+        ranks[f"__lo_{name}"] = low
+        ranks[f"__hi_{name}"] = lambda n, low=low: F.least(low(n) + 1, n)
+    x = values_at_ranks(df, group, value, ranks, range_rows=range_rows)
+    out = []
+    for name, p in marks.items():
+        num, den = Fraction(p).numerator, Fraction(p).denominator
+        a, b = F.col(f"__lo_{name}"), F.col(f"__hi_{name}")
+        rest = F.pmod((F.col("n") - 1) * F.lit(num), F.lit(den).cast("long"))
+        part = rest / F.lit(float(den))
+        new = {"linear": a + (b - a) * part, "lower": a, "higher": b, "nearest": F.when(part < 0.5, a).otherwise(b), "midpoint": (a + b) / 2}[method]
+        out.append(F.when(rest == 0, a).otherwise(new).alias(name))
+    return x.select(group, "n", *out)
