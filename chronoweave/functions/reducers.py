@@ -48,6 +48,7 @@ class Reducer:
     method: str = "linear"
     strict: bool = False
     function: Callable | None = None
+    returns: str = "double"
 
     def with_policy(self, policy: str) -> Reducer:
         return replace(self, policy=check_policy(policy))
@@ -55,7 +56,9 @@ class Reducer:
     def over_rows(self, c: Column, kind: T.DataType, order: Column) -> Column:
         """The aggregate of a column; `order` is the rows' order, unique within a group."""
         if self.kind == "user":
-            raise ReducerError("a user's function has no native aggregate; use Series.aggregate_with")
+            listed = F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), c.alias("v")))), lambda x: x["v"])
+            f = self.function
+            return F.udf(lambda values: f(list(values)), self.returns, useArrow=True)(listed)
         ok = valid(c, kind)
         v, rank = c, order
         if self.policy == "ignore":
@@ -187,9 +190,10 @@ def percentile(q: float, method: str = "linear", policy: str | None = None) -> R
     return Reducer("percentile", check_policy(policy), q=q, method=method)
 
 
-def user(function: Callable) -> Reducer:
-    """Any function of a pandas Series of values (in order) to one value; runs in Python, a group at a time."""
-    return Reducer("user", function=function)
+def user(function: Callable, returns: str = "double") -> Reducer:
+    """Any function of the list of a group's values, in order, to one value of type `returns`; runs in Python, and a group's
+    values come together in one task."""
+    return Reducer("user", function=function, returns=returns)
 
 
 BY_NAME = {"sum": total, "avg": avg, "mean": mean, "max": maximum, "min": minimum, "count": count, "first": first, "last": last, "keep": keep, "difference": difference, "median": median, "stddev": stddev, "stdev": stdev}

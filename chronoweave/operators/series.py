@@ -114,6 +114,43 @@ class TimeRange:
         return f"{ago(self.begin)} to {ago(self.end)}"
 
 
+@dataclass(frozen=True)
+class Index:
+    """An index string: '5m-4754394', '2014-09-17', '2014-09' or '2014'; a bad one raises when its range is asked for."""
+
+    text: str
+    tz: str = "UTC"
+
+    def timerange(self) -> TimeRange:
+        return TimeRange(*tk.range_of_index(self.text, self.tz))
+
+    def begin(self) -> int:
+        return self.timerange().begin
+
+    def end(self) -> int:
+        return self.timerange().end
+
+    def nice(self, form: str | None = None) -> str:
+        """'September 17 2014', 'September', '2014', or the text; `form` is a format of strftime."""
+        if "-" in self.text and tk.duration_ms(self.text):
+            return self.text
+        begin = tk.from_ms(self.begin(), self.tz)
+        if form is not None:
+            return begin.strftime(form)
+        return (begin.strftime("%Y"), begin.strftime("%B"), f"{begin:%B} {begin.day} {begin.year}")[self.text.count("-")]
+
+    @staticmethod
+    def of(duration: str, t: datetime | int) -> Index:
+        """The index of the window of a duration that holds a time."""
+        return Index(f"{duration}-{int(tk.to_ms(t) / tk.need_duration(duration))}")
+
+    @staticmethod
+    def all_of(duration: str, span: TimeRange) -> list[str]:
+        """All index strings of a range, both ends included."""
+        d = tk.need_duration(duration)
+        return [f"{duration}-{p}" for p in range(int(span.begin / d), int(span.end / d) + 1)]
+
+
 def last_days(n: int, now: datetime) -> TimeRange:
     """The range of n days that ends now."""
     end = tk.to_ms(now)
@@ -489,17 +526,10 @@ class Series:
     def aggregate(self, how: Reducer | str | Callable, path: Path = None) -> Any:
         """One value over all rows; None over no rows."""
         r = reducer(how)
-        if r.kind == "user":
-            return self.aggregate_with(r.function, path)
         c, k, _ = self._field(path)
         row = self.df.agg(r.over_rows(c, k, self._order()).alias("v"), F.count(F.lit(1)).alias("n")).first()
         return row["v"] if row["n"] else None
 
-    def aggregate_with(self, function: Callable, path: Path = None) -> Any:
-        """A user's function of all values in order; they come to one place, so keep that for small series."""
-        c, _, _ = self._field(path)
-        return function([r["v"] for r in self.df.select(c.alias("v"), "_ord").orderBy("_ord").collect()])
-
     def sum(self, path: Path = None, policy: str | None = None) -> Any:
         return self.aggregate(Reducer("sum").with_policy(policy or "keep"), path)
 

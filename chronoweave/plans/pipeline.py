@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from chronoweave.errors import PipelineError
 from chronoweave.functions import timekeys as tk
-from chronoweave.functions.paths import Path, Spec, column, resolve
+from chronoweave.functions.paths import Path, Spec, column, quoted, resolve
 from chronoweave.functions.reducers import Reducer, reducer
 from chronoweave.operators.series import INDEX, RANGE, Series
 
@@ -52,7 +52,7 @@ class Pipeline:
     window_kind: str = "global"
     window_duration: str | None = None
     tz: str = "UTC"
-    group: Path | Column | None = None
+    group: Path | Column | Callable | None = None
     emit: str = "eachEvent"
 
     # state
@@ -94,8 +94,9 @@ class Pipeline:
     def clear_window(self) -> Pipeline:
         return replace(self, window_kind="global", window_duration=None, tz="UTC")
 
-    def group_by(self, key: Path | Column = None) -> Pipeline:
-        """A column path or an expression whose values part the rows; null is a group of its own. None: no grouping."""
+    def group_by(self, key: Path | Column | Callable = None) -> Pipeline:
+        """A column path or an expression whose values part the rows; null is a group of its own. None: no grouping. A Python
+        function of the payload (a dict) gives a text, the slow path."""
         return replace(self, group=key)
 
     def clear_group_by(self) -> Pipeline:
@@ -118,6 +119,10 @@ class Pipeline:
             return F.lit(None).cast("string")
         if isinstance(self.group, Column):
             return self.group
+        if callable(self.group):
+            f = self.group
+            key = F.udf(lambda row: (None if (v := f(row.asDict(True))) is None else str(v)), "string", useArrow=False)
+            return key(F.struct(*[F.col(quoted((c,))) for c in s.columns()]))
         path = resolve(s.df, self.group)
         return F.col(GROUP) if path[0] not in s.df.columns and GROUP in s.df.columns else column(s.df, path)
 
