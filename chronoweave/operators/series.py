@@ -393,11 +393,15 @@ class Series:
     def bisect(self, t: datetime | int, b: int = 0) -> DataFrame:
         """One row per series: the position of the first row at exactly `t`, else of the last before it, else (all later) the
         one before `b`, but not below 0; searched from position `b`. No row for an empty series."""
-        ms = tk.to_ms(t)
-        x = self.positions().where(F.col("_pos") >= b)
-        by = x.groupBy(*self.by).agg(F.min(F.when(F.col("_t") == ms, F.col("_pos"))).alias("exact"), F.min(F.when(F.col("_t") > ms, F.col("_pos"))).alias("later"), F.max("_pos").alias("last"))
-        found = F.coalesce(F.when(F.col("later").isNull() | (F.col("exact") < F.col("later")), F.col("exact")), F.greatest(F.col("later") - 1, F.lit(0)), F.col("last"))
-        return by.where("last is not null").select(*self.by, found.alias("pos"))
+        return self._search(self.positions().where(F.col("_pos") >= b), tk.to_ms(t), "pos")
+
+    def _search(self, x: DataFrame, ms: int, name: str) -> DataFrame:
+        """The place of a time among positioned rows, one row per series; plain aggregates, so nothing is sorted."""
+        exact, later = F.min(F.when(F.col("_t") == ms, F.col("_pos"))), F.min(F.when(F.col("_t") > ms, F.col("_pos")))
+        g = x.groupBy(*self.by).agg(exact.alias("_exact"), later.alias("_later"), F.max("_pos").alias("_last")).where("_last is not null")
+        hit = F.col("_exact").isNotNull() & (F.col("_later").isNull() | (F.col("_exact") < F.col("_later")))
+        found = F.when(hit, F.col("_exact")).when(F.col("_later").isNotNull(), F.greatest(F.col("_later") - 1, F.lit(0))).otherwise(F.col("_last"))
+        return g.select(*self.by, found.alias(name))
 
     def at_time(self, t: datetime | int) -> Series:
         """The row at a time or the last before it; before all, the first."""
@@ -418,14 +422,10 @@ class Series:
 
         The row at the end is left out even where the series ends before it.
         """
-        b = self.bisect(span.begin).withColumnRenamed("pos", "lo")
-        ms = span.end
         x = self.positions()
-        keyed = self._with(x, b).where(F.col("_pos") >= F.col("lo"))
-        hi = keyed.groupBy(*self.by).agg(F.min(F.when(F.col("_t") == ms, F.col("_pos"))).alias("exact"), F.min(F.when(F.col("_t") > ms, F.col("_pos"))).alias("later"), F.max("_pos").alias("last"))
-        stop = F.coalesce(F.when(F.col("later").isNull() | (F.col("exact") < F.col("later")), F.col("exact")), F.greatest(F.col("later") - 1, F.lit(0)), F.col("last"))
-        hi = hi.where("last is not null").select(*self.by, stop.alias("hi"))
-        return self._unplaced(self._with(keyed, hi).where(F.col("_pos") < F.col("hi")).drop("lo", "hi"))
+        keyed = self._with(x, self._search(x, span.begin, "_lo")).where(F.col("_pos") >= F.col("_lo"))
+        kept = self._with(keyed, self._search(keyed, span.end, "_hi")).where(F.col("_pos") < F.col("_hi"))
+        return self._unplaced(kept.drop("_lo", "_hi"))
 
     def between(self, span: TimeRange) -> Series:
         """Rows whose time lies in a range, both ends included: a filter that reaches the scan."""

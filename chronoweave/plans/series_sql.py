@@ -115,7 +115,7 @@ _POS = f"p AS (SELECT *, row_number() {W} - 1 AS pos, count(*) OVER (PARTITION B
 
 def _bisect(t: str, where: str = "true") -> str:
     """The position of a time per type, by the rules of the lookup."""
-    return f"""(SELECT event_type, coalesce(min(CASE WHEN t = {t} THEN pos END), greatest(min(CASE WHEN t > {t} THEN pos END) - 1, 0), max(pos)) AS found
+    return f"""(SELECT event_type, coalesce(min(CASE WHEN t = {t} THEN pos END), CASE WHEN max(t) > {t} THEN greatest(min(CASE WHEN t > {t} THEN pos END) - 1, 0) END, max(pos)) AS found
   FROM p WHERE {where} GROUP BY event_type)"""
 
 
