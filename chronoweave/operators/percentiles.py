@@ -19,6 +19,9 @@ from chronoweave.plans.scale import sized_broadcast
 #: A group with more rows than this is cut into ranges of about this size.
 RANGE_ROWS = 250_000
 
+#: Ranges of one group.
+RANGES = 64
+
 
 def value_counts(df: DataFrame, group: Iterable[str], value: str, count: str | None = None) -> DataFrame:
     """The partial result: rows per (group, value). Counts of several partials are put together by a union and this again."""
@@ -26,17 +29,19 @@ def value_counts(df: DataFrame, group: Iterable[str], value: str, count: str | N
     return df.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*group, value).agg(n.alias("n"))
 
 
-def with_range(df: DataFrame, group: str, value: str, range_rows: int = RANGE_ROWS) -> DataFrame:
-    """Adds __range: the number of the group's splitters not above the value; 0 for groups of up to `range_rows` rows."""
+def hot_cuts(df: DataFrame, group: str, value: str, range_rows: int = RANGE_ROWS) -> DataFrame | None:
+    """__hot, __cuts: the groups of more than `range_rows` rows with splitters that cut them into ranges; None without such.
+
+    The splitters are approximate quantiles of bounded size and only balance the work. There are at most rows / range_rows
+    such groups; whoever joins them checks their number.
+    """
     size = df.groupBy(group).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > range_rows)
-    hot = size.select(F.col(group).alias("__hot"), "__n").persist()
+    hot = size.select(F.col(group).alias("__hot")).persist()
     if hot.isEmpty():
-        return df.withColumn("__range", F.lit(0))
-    # the number of hot groups is at most rows / range_rows; it is still counted before a broadcast
-    steps = 64
-    cuts = df.join(sized_broadcast(hot.select("__hot")), F.col(group).eqNullSafe(F.col("__hot"))).groupBy("__hot").agg(F.percentile_approx(value, F.array(*[F.lit(i / steps) for i in range(1, steps)]), F.lit(1000)).alias("__cuts"))
-    marked = df.join(sized_broadcast(cuts), F.col(group).eqNullSafe(F.col("__hot")), "left")
-    return marked.withColumn("__range", F.coalesce(F.size(F.filter(F.array_distinct("__cuts"), lambda s: s <= F.col(value))), F.lit(0))).drop("__cuts", "__hot")
+        return None
+    marks = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
+    own = df.join(sized_broadcast(hot), F.col(group).eqNullSafe(F.col("__hot")))
+    return own.groupBy("__hot").agg(F.array_distinct(F.percentile_approx(value, marks, F.lit(1000))).alias("__cuts"))
 
 
 def values_at_ranks(df: DataFrame, group: str, value: str, ranks: dict[str, Callable[[Column], Column]], distinct_by: str | None = None, count: str | None = None, range_rows: int = RANGE_ROWS) -> DataFrame:
@@ -48,19 +53,32 @@ def values_at_ranks(df: DataFrame, group: str, value: str, ranks: dict[str, Call
         raise ValueError("counts have no rows to tell apart")
     keep = [c for c in (distinct_by, count) if c is not None]
     good = df.select(F.col(group), (F.col(value) + F.lit(0)).alias(value), *keep).where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
-    cut = with_range(good, group, value, range_rows)
-    cut = cut.repartition(group, "__range")
-    if distinct_by is not None:
-        cut = cut.dropDuplicates([group, "__range", value, distinct_by])
     n = F.count(F.lit(1)) if count is None else F.sum(count)
-    counts = cut.groupBy(group, "__range", value).agg(n.alias("__c"))
-    w = Window.partitionBy(group, "__range")
-    run = counts.withColumn("__sum", F.sum("__c").over(w.orderBy(value)))
-    totals = counts.groupBy(group, "__range").agg(F.sum("__c").alias("__t"))
-    per = Window.partitionBy(group)
-    offs = totals.select(F.col(group).alias("__group"), F.col("__range").alias("__r"), (F.sum("__t").over(per.orderBy("__range")) - F.col("__t")).alias("__before"), F.sum("__t").over(per).alias("n"))
-    at = run.join(offs, F.col(group).eqNullSafe(F.col("__group")) & (F.col("__range") == F.col("__r")))
-    high = F.col("__before") + F.col("__sum")
+
+    def counts(x: DataFrame, part: list[str]) -> DataFrame:
+        """One exchange by `part`; duplicates and equal values meet there."""
+        x = x.repartition(*part)
+        if distinct_by is not None:
+            x = x.dropDuplicates([*part, value, distinct_by])
+        return x.groupBy(*part, value).agg(n.alias("__c"))
+
+    cuts = hot_cuts(good, group, value, range_rows)
+    if cuts is None:
+        w = Window.partitionBy(group)
+        at = counts(good, [group]).withColumn("__sum", F.sum("__c").over(w.orderBy(value))).withColumn("n", F.sum("__c").over(w))
+        high = F.col("__sum")
+    else:
+        part = [group, "__range"]
+        marked = good.join(sized_broadcast(cuts), F.col(group).eqNullSafe(F.col("__hot")), "left")
+        marked = marked.withColumn("__range", F.coalesce(F.size(F.filter("__cuts", lambda s: s <= F.col(value))), F.lit(0)))
+        w, per = Window.partitionBy(*part), Window.partitionBy(group)
+        run = counts(marked.drop("__cuts", "__hot"), part).withColumn("__sum", F.sum("__c").over(w.orderBy(value))).withColumn("__t", F.sum("__c").over(w))
+        # totals of the ranges are needed for hot groups only, so only their rows are read twice
+        own = counts(marked.where("__cuts is not null").drop("__cuts", "__hot"), part).groupBy(*part).agg(F.sum("__c").alias("__t"))
+        offs = own.select(F.col(group).alias("__group"), F.col("__range").alias("__r"), (F.sum("__t").over(per.orderBy("__range")) - F.col("__t")).alias("__before"), F.sum("__t").over(per).alias("__all"))
+        at = run.join(sized_broadcast(offs), F.col(group).eqNullSafe(F.col("__group")) & (F.col("__range") == F.col("__r")), "left")
+        at = at.withColumn("n", F.coalesce("__all", "__t"))
+        high = F.coalesce("__before", F.lit(0)) + F.col("__sum")
     low = high - F.col("__c")
     picks = [(name, F.when((low < rank(F.col("n"))) & (rank(F.col("n")) <= high), F.col(value))) for name, rank in ranks.items()]
     hit = picks[0][1].isNotNull()
@@ -84,9 +102,10 @@ def percentiles(df: DataFrame, group: str, value: str, marks: dict[str, Fraction
     return values_at_ranks(df, group, value, {name: at(p) for name, p in marks.items()}, distinct_by, count, range_rows)
 
 
-def interpolated(df: DataFrame, group: str, value: str, marks: dict[str, Fraction], method: str = "linear", range_rows: int = RANGE_ROWS) -> DataFrame:
+def interpolated(df: DataFrame, group: str, value: str, marks: dict[str, Fraction], methods: str | Iterable[str] = "linear", range_rows: int = RANGE_ROWS) -> DataFrame:
     """Percentiles with interpolation between the two values around position (n - 1) p: 'linear', 'lower', 'higher',
-    'nearest' (below one half the lower) or 'midpoint'. Exact, and no group is collected anywhere."""
+    'nearest' (below one half the lower) or 'midpoint'. Exact, and no group is collected anywhere. With several methods
+    there is a row per group and method, and a column `method`; the ranks are looked up once."""
     ranks: dict[str, Callable[[Column], Column]] = {}
     for name, p in marks.items():
         num, den = Fraction(p).numerator, Fraction(p).denominator
@@ -97,12 +116,19 @@ def interpolated(df: DataFrame, group: str, value: str, marks: dict[str, Fractio
         ranks[f"__lo_{name}"] = low
         ranks[f"__hi_{name}"] = lambda n, low=low: F.least(low(n) + 1, n)
     x = values_at_ranks(df, group, value, ranks, range_rows=range_rows)
-    out = []
-    for name, p in marks.items():
-        num, den = Fraction(p).numerator, Fraction(p).denominator
-        a, b = F.col(f"__lo_{name}"), F.col(f"__hi_{name}")
-        rest = F.pmod((F.col("n") - 1) * F.lit(num), F.lit(den).cast("long"))
-        part = rest / F.lit(float(den))
-        new = {"linear": a + (b - a) * part, "lower": a, "higher": b, "nearest": F.when(part < 0.5, a).otherwise(b), "midpoint": (a + b) / 2}[method]
-        out.append(F.when(rest == 0, a).otherwise(new).alias(name))
-    return x.select(group, "n", *out)
+
+    def by(method: str) -> list[Column]:
+        out = []
+        for name, p in marks.items():
+            num, den = Fraction(p).numerator, Fraction(p).denominator
+            a, b = F.col(f"__lo_{name}"), F.col(f"__hi_{name}")
+            rest = F.pmod((F.col("n") - 1) * F.lit(num), F.lit(den).cast("long"))
+            part = rest / F.lit(float(den))
+            new = {"linear": a + (b - a) * part, "lower": a, "higher": b, "nearest": F.when(part < 0.5, a).otherwise(b), "midpoint": (a + b) / 2}[method]
+            out.append(F.when(rest == 0, a).otherwise(new).alias(name))
+        return out
+
+    if isinstance(methods, str):
+        return x.select(group, "n", *by(methods))
+    rows = F.explode(F.array(*[F.struct(F.lit(m).alias("method"), *[c.cast("double").alias(name) for c, name in zip(by(m), marks, strict=True)]) for m in methods]))
+    return x.select(group, "n", rows.alias("r")).select(group, "n", "r.*")

@@ -77,3 +77,11 @@ def test_bytes_and_states(spark):
     assert [r[0] for r in df.select(bytes_missing(F.col("v"), F.col("s"))).collect()] == [False, True, False, True, True, False]
     df = spark.createDataFrame([(" Up\t",), ("n/a",), (None,), ("MAINT",)], "v string")
     assert [r[0] for r in df.select(day_state(F.col("v"))).collect()] == ["up", None, None, "maint"]
+
+
+def test_prototypes_on_the_driver_and_in_spark_agree(spark):
+    rows = [(float(i % 5) * 3, None if i % 7 == 0 else "abc"[i % 3], float(i % 4)) for i in range(200)]
+    df = spark.createDataFrame(rows, "x double, c string, y double")
+    fits = [fit_prototypes(df, {"x": F.col("x"), "y": F.col("y")}, {"c": F.col("c")}, k=4, on_driver=n) for n in (10_000, 0)]
+    near = [sorted([tuple(round(v, 9) if isinstance(v, float) else v for v in c.values()) for c in f.centroids], key=str) for f in fits]
+    assert near[0] == near[1]
