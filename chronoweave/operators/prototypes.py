@@ -1,19 +1,25 @@
 """K-prototypes clustering of mixed numeric and categorical features.
 
 Rows are first reduced to weighted micro-cells: numeric features are standardised and rounded to a fixed grid, so the
-number of cells is bounded by the grid and the categories, not by the rows. Lloyd steps run over the cells as ordinary
-aggregations; only the centroids (k rows) reach the driver. A feature that is null in a row takes no part in that row's
+number of cells is bounded by the grid and the categories, not by the rows. Up to `CELLS_ON_DRIVER` cells the Lloyd steps run
+over them on the driver; beyond (many categories) they run as aggregations over all cells, and only the centroids reach the
+driver. Every row counts, by its cell's weight, either way. A feature that is null in a row takes no part in that row's
 distance, so rows with missing fields are assigned by what was observed.
 """
 
 from __future__ import annotations
 
+from collections import defaultdict
 from dataclasses import dataclass, field
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
+#: Cells up to which the Lloyd steps need no Spark job.
+CELLS_ON_DRIVER = 20_000
+
+
 @dataclass(frozen=True)
 class Prototypes:
     """Fitted centroids and the scaling of the numeric features."""
@@ -37,7 +43,7 @@ class Prototypes:
             cost = terms[0] if terms else F.lit(0.0)
             for t in terms[1:]:
                 cost = cost + t
-            costs.append(F.struct(cost.alias("cost"), F.lit(i).alias("i")))
+            costs.append(F.named_struct(F.lit("cost"), cost, F.lit("i"), F.lit(i)))
         return F.least(*costs)["i"] if len(costs) > 1 else F.lit(0)
 
     def _scaled(self, name: str) -> Column:
@@ -49,7 +55,7 @@ def _on_grid(c: Column, mean: float, spread: float, grid: float) -> Column:
     return F.round(z / F.lit(grid)) * F.lit(grid)
 
 
-def fit_prototypes(df: DataFrame, numeric: dict[str, Column], categorical: dict[str, Column], k: int = 8, steps: int = 3, gamma: float = 1.0, grid: float = 0.5) -> Prototypes:
+def fit_prototypes(df: DataFrame, numeric: dict[str, Column], categorical: dict[str, Column], k: int = 8, steps: int = 3, gamma: float = 1.0, grid: float = 0.5, on_driver: int = CELLS_ON_DRIVER) -> Prototypes:
     """Fit on all rows of `df`. k: clusters; steps: Lloyd steps; gamma: cost of a differing category; grid: cell width in standard deviations.
 
     Seeds are taken farthest-first among the 32 k heaviest cells. An empty table gives no centroids (every row is cluster 0).
@@ -63,28 +69,59 @@ def fit_prototypes(df: DataFrame, numeric: dict[str, Column], categorical: dict[
     keys = [_on_grid(numeric[n], *scales[n], grid).alias(n) for n in names] + [c.cast("string").alias(n) for n, c in categorical.items()]
     cells = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n")).persist()
     try:
-        heavy = [r.asDict() for r in cells.orderBy(F.desc("_n"), *names, *cats).limit(32 * k).collect()]
-        model = Prototypes(scales, tuple(cats), tuple(_seeds(heavy, names, cats, k, gamma)), gamma, grid, features)
-        on_cells = {n: F.col(n) for n in names + cats}
+        few = [r.asDict() for r in cells.limit(on_driver + 1).collect()]
+        order = [*names, *cats]
+        if len(few) <= on_driver:
+            few.sort(key=lambda r: (-r["_n"], *[(r[n] is not None, r[n]) for n in order]))
+            centroids = _seeds(few[: 32 * k], names, cats, k, gamma)
+            for _ in range(steps):
+                centroids = _step(few, centroids, names, cats, gamma)
+            return Prototypes(scales, tuple(cats), tuple(centroids), gamma, grid, features)
+        heavy = [r.asDict() for r in cells.orderBy(F.desc("_n"), *[F.col(n).asc_nulls_first() for n in order]).limit(32 * k).collect()]
+        centroids = _seeds(heavy, names, cats, k, gamma)
+        on_cells = {n: F.col(n) for n in order}
         for _ in range(steps):
-            if len(model.centroids) < 2:
-                break
             # scales of the cells are already applied: identity scaling on the cells' own columns
-            local = Prototypes({n: (0.0, 1.0) for n in names}, tuple(cats), model.centroids, gamma, grid, on_cells)
-            placed = cells.withColumn("_c", local.cluster())
-            rows = placed.groupBy("_c").agg(*[(F.sum(F.col(n) * F.col("_n")) / F.sum(F.when(F.col(n).isNotNull(), F.col("_n")))).alias(n) for n in names], F.sum("_n").alias("_w")).collect()
-            centre: dict[int, dict[str, object]] = {r["_c"]: {n: r[n] for n in names} for r in rows}
-            if cats:
-                long = placed.select("_c", "_n", F.explode(F.array(*[F.struct(F.lit(n).alias("f"), F.col(n).alias("v")) for n in cats])).alias("x")).where("x.v is not null")
-                modes = long.groupBy("_c", "x.f", "x.v").agg(F.sum("_n").alias("w")).groupBy("_c", "f").agg(F.max_by("v", F.struct("w", "v")).alias("v")).collect()
-                for r in modes:
-                    centre[r["_c"]][r["f"]] = r["v"]
-            model = Prototypes(scales, tuple(cats), tuple({**{n: None for n in names + cats}, **centre[c]} for c in sorted(centre)), gamma, grid, features)
-        return model
+            local = Prototypes({n: (0.0, 1.0) for n in names}, tuple(cats), tuple(centroids), gamma, grid, on_cells)
+            parts = [F.struct(F.lit(n).alias("f"), F.lit(None).cast("string").alias("v"), F.col(n).alias("z")) for n in names]
+            parts += [F.struct(F.lit(n).alias("f"), F.col(n).alias("v"), F.lit(None).cast("double").alias("z")) for n in cats]
+            long = cells.select(local.cluster().alias("c"), "_n", F.explode(F.array(*parts)).alias("x")).where("x.v is not null or x.z is not null")
+            sums = long.groupBy("c", "x.f", "x.v").agg(F.sum("_n").alias("w"), F.sum(F.col("x.z") * F.col("_n")).alias("z"))
+            best = sums.groupBy("c", "f").agg(F.max_by("v", F.struct("w", "v")).alias("v"), (F.sum("z") / F.sum("w")).alias("z")).collect()
+            centre: dict[int, dict[str, object]] = defaultdict(lambda: {n: None for n in order})
+            for r in best:
+                centre[r["c"]][r["f"]] = r["v"] if r["f"] in cats else r["z"]
+            centroids = [centre[c] for c in sorted(centre)] or centroids
+        return Prototypes(scales, tuple(cats), tuple(centroids), gamma, grid, features)
     finally:
         cells.unpersist()
 
 
+def _step(cells: list[dict], centroids: list[dict], names: list[str], cats: list[str], gamma: float) -> list[dict]:
+    """One Lloyd step over weighted cells: assign each, then take means and modes."""
+    weight: dict[tuple[int, str], float] = defaultdict(float)
+    total: dict[tuple[int, str], float] = defaultdict(float)
+    votes: dict[tuple[int, str], dict[str, int]] = defaultdict(lambda: defaultdict(int))
+    used = set()
+    for r in cells:
+        costs = [sum((r[n] - c[n]) ** 2 for n in names if r[n] is not None and c[n] is not None) + gamma * sum(r[n] != c[n] for n in cats if r[n] is not None and c[n] is not None) for c in centroids]
+        i = costs.index(min(costs))
+        used.add(i)
+        for n in names:
+            if r[n] is not None:
+                weight[i, n] += r["_n"]
+                total[i, n] += r[n] * r["_n"]
+        for n in cats:
+            if r[n] is not None:
+                votes[i, n][r[n]] += r["_n"]
+    out = []
+    for i in sorted(used):
+        means = {n: total[i, n] / weight[i, n] if weight[i, n] else None for n in names}
+        modes = {n: max(votes[i, n], key=lambda v, at=votes[i, n]: (at[v], v)) if votes[i, n] else None for n in cats}
+        out.append(means | modes)
+    return out
+
+
 def _seeds(heavy: list[dict], names: list[str], cats: list[str], k: int, gamma: float) -> list[dict]:
     def apart(a: dict, b: dict) -> float:
         d = sum((a[n] - b[n]) ** 2 for n in names if a[n] is not None and b[n] is not None)
