@@ -408,6 +408,21 @@ class Series:
         pos = self.bisect(t)
         return self._join_positions(pos, F.col("_pos") == F.col("pos"))
 
+    def as_of(self, probes: Series) -> DataFrame:
+        """For every row of `probes` (a series with the same `by` columns) the row of this one at its time or the last before it,
+        else the first: `_t` and the probes' columns, and the row found as struct `found` (null where the series is empty).
+
+        Both sides are put in one time order, so nothing is compared pairwise; of rows of one time the last arrived counts.
+        """
+        data = F.struct(F.col("_t").alias("t"), *[F.col(quoted((c,))) for c in self.columns() if c not in self.by])
+        mine = self.df.select(*self.by, "_t", data.alias("__row"), F.struct(F.lit(0).alias("s"), F.xxhash64("_ord").alias("h")).alias("__o"), F.col("_ord").alias("__mo"))
+        theirs = probes.df.select(*self.by, "_t", F.struct(F.lit(1).alias("s"), F.xxhash64("_ord").alias("h")).alias("__o"), F.struct(*[F.col(quoted((c,))) for c in probes.columns() if c not in self.by]).alias("__probe"))
+        both = mine.unionByName(theirs, allowMissingColumns=True)
+        both = both.withColumn("__o", F.struct(F.col("__o.s").alias("s"), F.col("__mo").alias("m"), F.col("__o.h").alias("h"))).drop("__mo")
+        x = add_neighbours(both, list(self.by), "_t", "__o", {"row": F.col("__row")}, self.split_ms).where("__o.s = 1")
+        found = F.coalesce(F.col("__prev_row")["v"], F.col("__next_row")["v"])
+        return x.select(*self.by, "_t", "__probe.*", found.alias("found"))
+
     def slice(self, begin: int, end: int) -> Series:
         """Rows of positions begin to end - 1; negative positions count from the end."""
         x = self.positions()

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Callable
+from fractions import Fraction
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -90,22 +91,12 @@ def agg_policies(spark: SparkSession, d: str) -> DataFrame:
 
 
 def percentile_methods(spark: SparkSession, d: str) -> DataFrame:
-    from fractions import Fraction
-
     df = table(spark, d, "events").select("event_type", "value")
-    parts = []
-    for m in r.METHODS:
-        x = interpolated(df, "event_type", "value", {"p5": Fraction(5, 100), "p50": Fraction(1, 2), "p95": Fraction(95, 100)}, m)
-        parts.append(x.select("event_type", F.lit(m).alias("method"), *[F.round(c, 6).alias(c) for c in ("p5", "p50", "p95")]))
-    res = parts[0]
-    for x in parts[1:]:
-        res = res.unionByName(x)
-    return res
+    marks = {"p5": Fraction(5, 100), "p50": Fraction(1, 2), "p95": Fraction(95, 100)}
+    return _rounded(interpolated(df, "event_type", "value", marks, r.METHODS).drop("n"), *marks)
 
 
 def quantile_4(spark: SparkSession, d: str) -> DataFrame:
-    from fractions import Fraction
-
     df = table(spark, d, "events").select("event_type", "value")
     x = interpolated(df, "event_type", "value", {f"q{i}": Fraction(i, 4) for i in (1, 2, 3)})
     return x.select("event_type", *[F.round(f"q{i}", 6).alias(f"q{i}") for i in (1, 2, 3)])
@@ -349,6 +340,13 @@ def at_time(spark: SparkSession, d: str) -> DataFrame:
     return out(events(spark, d).at_time(PROBE), "event_id")
 
 
+def as_of(spark: SparkSession, d: str) -> DataFrame:
+    """For every purchase the user's last click before it, else the first."""
+    s = events(spark, d, ("user_id",))
+    clicks, purchases = (s.filter(F.col("event_type") == k).set_data(event_id=F.col("event_id")) for k in ("click", "purchase"))
+    return clicks.as_of(purchases).select("user_id", "event_id", F.col("found.event_id").alias("click_id"), F.col("found.t").alias("click_t"))
+
+
 def bisect_pos(spark: SparkSession, d: str) -> DataFrame:
     return events(spark, d).bisect(PROBE)
 
@@ -489,6 +487,6 @@ def series_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         q[f"as_events_{a}"] = _as_events(a)
     for a in ("front", "center", "behind"):
         q[f"as_time_ranges_{a}"] = _as_ranges(a)
-    for f in (rollup_to_events, group_window_agg, global_agg, agg_reducers, agg_policies, percentile_methods, quantile_4, select_cols, select_nested, rename_columns, offset_by, filter_gt, clean_valid, size_valid, map_columns, map_rows, filter_rows, take_global, take_per_group, take_per_window_group, filter_take_count, window_counts, keyed_sizes, collect_windows, align_then_rate, fill_align_rate, as_indexed, index_ranges, calendar_keys, index_lists, range_extents, range_algebra, merge_series, sum_series, combine_avg, combine_last, reduce_list, dedup_last, duplicate_keys, rows_by_key, columns_as_lists, crop, between, slice_positions, slice_from_end, at_time, bisect_pos, at_position, first_last, at_key, sort_by_value, nice_index, time_text, month_shift, wire_points, wire_round_trip, series_points_wire, stream_update, stream_discard, stream_flush):
+    for f in (rollup_to_events, group_window_agg, global_agg, agg_reducers, agg_policies, percentile_methods, quantile_4, select_cols, select_nested, rename_columns, offset_by, filter_gt, clean_valid, size_valid, map_columns, map_rows, filter_rows, take_global, take_per_group, take_per_window_group, filter_take_count, window_counts, keyed_sizes, collect_windows, align_then_rate, fill_align_rate, as_indexed, index_ranges, calendar_keys, index_lists, range_extents, range_algebra, merge_series, sum_series, combine_avg, combine_last, reduce_list, dedup_last, duplicate_keys, rows_by_key, columns_as_lists, crop, between, slice_positions, slice_from_end, at_time, as_of, bisect_pos, at_position, first_last, at_key, sort_by_value, nice_index, time_text, month_shift, wire_points, wire_round_trip, series_points_wire, stream_update, stream_discard, stream_flush):
         q[f.__name__] = f
     return q

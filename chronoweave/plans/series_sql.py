@@ -202,6 +202,10 @@ hi AS {_bisect(_SPAN[1]).replace("FROM p ", "FROM q ")} SELECT t, event_id FROM
         "slice_positions": f"WITH {E}, {_POS} SELECT t, event_id FROM p WHERE pos >= 5 AND pos < 105",
         "slice_from_end": f"WITH {E}, {_POS} SELECT t, event_id FROM p WHERE pos >= n - 20 AND pos < n - 10",
         "at_time": f"WITH {E}, {_POS}, b AS {_bisect(str(_PROBE))} SELECT t, event_id FROM p JOIN b USING (event_type) WHERE pos = found",
+        "as_of": f"""WITH {E}, p AS (SELECT * FROM e WHERE event_type = 'purchase'), c AS (SELECT * FROM e WHERE event_type = 'click'),
+m AS (SELECT p.user_id, p.event_id, coalesce(
+    max(CASE WHEN c.t <= p.t THEN (c.t, c.event_id) END), min((c.t, c.event_id))) AS hit FROM p LEFT JOIN c ON c.user_id = p.user_id GROUP BY p.user_id, p.event_id)
+SELECT user_id, event_id, (hit)[2] AS click_id, (hit)[1] AS click_t FROM m""",
         "bisect_pos": f"WITH {E}, {_POS} SELECT event_type, found AS pos FROM {_bisect(str(_PROBE))}",
         "at_position": f"WITH {E}, {_POS} SELECT t, event_id FROM p WHERE pos = 7 UNION ALL SELECT t, event_id FROM p WHERE pos = n - 3",
         "first_last": f"WITH {E}, {_POS} SELECT t, event_id FROM p WHERE pos = 0 UNION ALL SELECT t, event_id FROM p WHERE pos = n - 1",
