@@ -45,22 +45,31 @@ def splitters() -> tuple[Callable[[str], list[str]], Callable[[str], list[str]]]
     return regex.compile(PATTERN).findall, re.compile(plain).findall
 
 
-def pre_tokens(text: str) -> Iterator[list[str]]:
-    """The pre-tokens of a text, in lists of about `SLICE_CHARS` characters.
+#: Before white space that follows something else a pre-token always begins, so there a text may be cut.
+_CUT, _LINE = re.compile(r"(?<=\S)(?=[\t-\r ])"), re.compile(r"(?<=\S)(?=\n)")
 
-    A single blank between two other characters that are no white space always begins a pre-token: there the text is cut.
-    """
+
+def pre_tokens(text: str) -> Iterator[list[str]]:
+    """The pre-tokens of a text, in lists of about `SLICE_CHARS` characters; ASCII lines go to the faster engine."""
     wide, plain = splitters()
-    find = plain if text.isascii() else wide
     at = 0
-    cut = re.compile(r"(?<!\s) (?!\s|\Z)")
-    while len(text) - at > SLICE_CHARS:
-        m = cut.search(text, at + SLICE_CHARS)
-        if m is None:
-            break
-        yield find(text[at : m.start()])
-        at = m.start()
-    yield find(text[at:] if at else text)
+    while at < len(text):
+        m = _CUT.search(text, at + SLICE_CHARS) if len(text) - at > SLICE_CHARS else None
+        end = m.start() if m else len(text)
+        part = text[at:end]
+        if part.isascii():
+            yield plain(part)
+        else:
+            yield [w for line in _LINE.split(part) for w in (plain(line) if line.isascii() else wide(line))]
+        at = end
+
+
+class _Numbers(dict):
+    """Word -> its number, in the order in which they were first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        n = self[word] = len(self)
+        return n
 
 
 @cache
@@ -86,7 +95,7 @@ WORD, DOC = 0, 1
 
 def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     part = TaskContext.get().partitionId() << 32
-    words: dict[str, int] = {}
+    words = _Numbers()
     docs: list[tuple[int | None, bytes]] = []
     size, number = 0, 0
 
@@ -101,9 +110,6 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             text = text.as_py()
             parts = []
             for tokens in pre_tokens(text) if text else ():
-                for w in set(tokens):
-                    if w not in words:
-                        words[w] = len(words)
                 parts.append(np.fromiter(map(words.__getitem__, tokens), np.uint32, len(tokens)))
             ids = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
             small = len(ids) == 0 or int(ids.max()) < 1 << 16
@@ -111,7 +117,7 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             size += len(text or "")
             if size >= BLOCK_CHARS:
                 yield from flush()
-                words, docs, size, number = {}, [], 0, number + 1
+                words, docs, size, number = _Numbers(), [], 0, number + 1
     if docs:
         yield from flush()
 
