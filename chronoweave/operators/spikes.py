@@ -104,11 +104,14 @@ def chart_one(value: np.ndarray, limit: float, rules: SpikeRules) -> tuple[np.nd
     return impossible, stuck, away, suspect
 
 
-#: part 0: residual bins, or the exact median of a source of one chunk (bin WHOLE); part 1: counts of repeated values and, with
-#: value NaN, of all readings; part 2: flagged or suspect readings with their neighbours, in the order of the chunk.
-_PARTS = "name string, part int, bin long, n long, value double, reading_id long, ms long, away double, flag int"
-WHOLE, ZERO = -(10**10), -(10**9)
+_FLAGS = "name string, reading_id long, ms long, flaw string, distance double, scatter double"
+
+#: What a chunk of a long source gives. part 0: residuals by bin; part 1: counts of repeated values and, with value NaN, of all
+#: readings; part 2: flagged or suspect readings with their neighbours, in the order of the chunk.
+_PARTS = "name string, chunk long, part int, bin long, n long, value double, reading_id long, ms long, away double, flag int"
+ZERO = -(10**9)
 IMPOSSIBLE, STUCK, OWN, NEIGHBOUR = 1, 2, 3, 4
+WORDS = np.array(["", "impossible", "stuck", "spike"], object)
 
 
 def _bins(r: np.ndarray) -> np.ndarray:
@@ -116,121 +119,141 @@ def _bins(r: np.ndarray) -> np.ndarray:
     return np.where(r > 0, np.round(np.log(np.maximum(r, 1e-300)) / np.log(BIN)), ZERO).astype(np.int64)
 
 
-def _chart(rules: SpikeRules):
-    """The parts of every chunk."""
+def _beside(mark: np.ndarray, reach: int) -> np.ndarray:
+    """The marks and what lies up to `reach` places beside one."""
+    out = mark.copy()
+    for s in range(1, reach + 1):
+        out[s:] |= mark[:-s]
+        out[:-s] |= mark[s:]
+    return out
+
+
+def find_spikes(order: np.ndarray, away: np.ndarray, scatter: float, rules: SpikeRules) -> np.ndarray:
+    """Which readings are spikes, of those given with their place in the source and their distance from the level around.
+
+    A spike is further away than `spike_scatters`; it and its neighbours on the same side that stay further away than
+    `return_scatters` are at most `spike_run`.
+    """
+    if not len(away) or not scatter > 0:
+        return np.zeros(len(away), bool)
+    out = np.abs(away) > rules.return_scatters * scatter
+    side = np.sign(away)
+    join = (order[1:] == order[:-1] + 1) & out[1:] & out[:-1] & (side[1:] == side[:-1])
+    size = np.diff(np.r_[np.flatnonzero(np.r_[True, ~join]), len(away)])
+    return out & np.repeat(size <= rules.spike_run, size) & (np.abs(away) > rules.spike_scatters * scatter)
+
+
+def judge_whole(value: np.ndarray, top: float, rules: SpikeRules) -> tuple[np.ndarray, np.ndarray, float]:
+    """Flaws (as numbers), distances and the scatter of a source that is seen as a whole."""
+    impossible, stuck, away, suspect = chart_one(value, top, rules)
+    pos = np.flatnonzero(~np.isnan(away))
+    scatter = float(np.median(np.abs(away[pos]))) if len(pos) else 0.0
+    flaw = np.where(impossible, IMPOSSIBLE, 0)
+    if len(value) and np.unique(value, return_counts=True)[1].max() * 2 <= len(value):
+        flaw[stuck] = STUCK
+        near = np.flatnonzero(_beside(suspect[pos], rules.spike_run + 1))
+        flaw[pos[near[find_spikes(near, away[pos[near]], scatter, rules)]]] = OWN
+    return flaw, away, scatter
+
+
+def _stretches(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray, list[int], np.ndarray]]:
+    """Frames of whole chunks, the rows that are no repeat of the one before, the chunks' edges, and which names are null."""
+    for x in whole_groups(batches, ["name", "chunk"], 100_000):
+        name, null, chunk, ids, ms = x["name"].to_numpy(), x["name"].isna().to_numpy(), x["chunk"].to_numpy(), x["reading_id"].to_numpy(), x["ms"].to_numpy()
+        same = (chunk[1:] == chunk[:-1]) & ((name[1:] == name[:-1]) | (null[1:] & null[:-1]))
+        fresh = ~np.r_[False, same & (ids[1:] == ids[:-1]) & (ms[1:] == ms[:-1])]
+        yield x, fresh, np.r_[0, np.flatnonzero(~same) + 1, len(x)].tolist(), null
+
+
+def _flag_whole(rules: SpikeRules):
+    """The flags of sources of one chunk."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for x, fresh, edges, null in _stretches(batches):
+            name, ids, ms, value = (x[c].to_numpy() for c in ("name", "reading_id", "ms", "value"))
+            limit = x["limit"].to_numpy(dtype=float, na_value=np.inf)
+            out = []
+            for i, j in zip(edges[:-1], edges[1:], strict=True):
+                use = i + np.flatnonzero(fresh[i:j])
+                flaw, away, scatter = judge_whole(value[use], np.inf if np.isnan(limit[i]) else limit[i], rules)
+                at = np.flatnonzero(flaw)
+                if len(at):
+                    out.append((None if null[i] else name[i], scatter, flaw[at], away[at], use[at]))
+            if out:
+                sizes = [len(o[4]) for o in out]
+                at = np.concatenate([o[4] for o in out])
+                yield pd.DataFrame({"name": np.repeat(np.array([o[0] for o in out], object), sizes), "reading_id": ids[at], "ms": ms[at], "flaw": WORDS[np.concatenate([o[2] for o in out])], "distance": np.concatenate([o[3] for o in out]), "scatter": np.repeat([o[1] for o in out], sizes)})
+
+    return run
 
-    def parts(value: np.ndarray, ids: np.ndarray, ms: np.ndarray, own: np.ndarray, top: float, chunk: int, whole: bool) -> Iterator[dict]:
+
+def _chart_parts(rules: SpikeRules):
+    """The parts of every chunk of a long source."""
+
+    def parts(value: np.ndarray, ids: np.ndarray, ms: np.ndarray, own: np.ndarray, top: float) -> Iterator[dict]:
         impossible, stuck, away, suspect = chart_one(value, top, rules)
         counted = ~np.isnan(away)
-        r = np.abs(away[own & counted])
-        if len(r) and whole:
-            yield {"part": 0, "bin": np.array([WHOLE]), "n": np.array([len(r)]), "value": np.array([np.median(r)])}
-        elif len(r):
-            b, c = np.unique(_bins(r), return_counts=True)
-            yield {"part": 0, "bin": b, "n": c}
-        mine = value[own]
-        if len(mine):
-            v, c = np.unique(mine, return_counts=True)
-            often = (c > 1) | (len(mine) == 1)
-            yield {"part": 1, "n": np.r_[c[often], len(mine)], "value": np.r_[v[often], np.nan]}
+        b, c = np.unique(_bins(np.abs(away[own & counted])), return_counts=True)
+        yield {"part": 0, "bin": b, "n": c}
+        v, c = np.unique(value[own], return_counts=True)
+        yield {"part": 1, "n": np.r_[c[c > 1], own.sum()], "value": np.r_[v[c > 1], np.nan]}
         pos = np.flatnonzero(counted)
-        mark = suspect[pos]
-        wide = mark.copy()
-        for s in range(1, rules.spike_run + 2):  # neighbours tell whether the level returns
-            wide[s:] |= mark[:-s]
-            wide[:-s] |= mark[s:]
         rank = np.full(len(value), -1, np.int64)
         rank[pos] = np.arange(len(pos))
-        flag = np.where(impossible, IMPOSSIBLE, np.where(stuck, STUCK, np.where(own, OWN, NEIGHBOUR)))
         show = (impossible | stuck) & own
-        show[pos[wide]] = True
+        show[pos[_beside(suspect[pos], rules.spike_run + 1)]] = True  # neighbours tell whether the level returns
+        flag = np.where(impossible, IMPOSSIBLE, np.where(stuck, STUCK, np.where(own, OWN, NEIGHBOUR)))
         at = np.flatnonzero(show)
-        if len(at):
-            yield {"part": 2, "bin": np.full(len(at), chunk), "n": rank[at], "reading_id": ids[at], "ms": ms[at], "away": away[at], "flag": flag[at]}
+        yield {"part": 2, "n": rank[at], "reading_id": ids[at], "ms": ms[at], "away": away[at], "flag": flag[at]}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in whole_groups(batches, ["name", "chunk"], 100_000):
-            name, null, chunk = x["name"].to_numpy(), x["name"].isna().to_numpy(), x["chunk"].to_numpy()
-            ids, ms, value = x["reading_id"].to_numpy(), x["ms"].to_numpy(), x["value"].to_numpy()
-            limit, own, whole = x["limit"].to_numpy(dtype=float, na_value=np.inf), x["own"].to_numpy(), x["whole"].to_numpy()
-            same = (chunk[1:] == chunk[:-1]) & ((name[1:] == name[:-1]) | (null[1:] & null[:-1]))
-            fresh = ~np.r_[False, same & (ids[1:] == ids[:-1]) & (ms[1:] == ms[:-1])]
-            out: list[tuple[str | None, dict]] = []
-            edges = np.r_[0, np.flatnonzero(~same) + 1, len(x)].tolist()
+        for x, fresh, edges, null in _stretches(batches):
+            name, ids, ms, value, own, chunk = (x[c].to_numpy() for c in ("name", "reading_id", "ms", "value", "own", "chunk"))
+            limit = x["limit"].to_numpy(dtype=float, na_value=np.inf)
             for i, j in zip(edges[:-1], edges[1:], strict=True):
                 use = i + np.flatnonzero(fresh[i:j])
-                top = np.inf if np.isnan(limit[i]) else limit[i]
-                out += [(None if null[i] else name[i], p) for p in parts(value[use], ids[use], ms[use], own[use], top, int(chunk[i]), bool(whole[i]))]
-            if out:
-                sizes = [len(p["n"]) for _, p in out]
-                frame = pd.DataFrame({"name": np.repeat(np.array([w for w, _ in out], object), sizes), "part": np.repeat([p["part"] for _, p in out], sizes).astype(np.int32)})
-                for c, kind, default in (("bin", np.int64, 0), ("n", np.int64, 0), ("value", float, np.nan), ("reading_id", np.int64, 0), ("ms", np.int64, 0), ("away", float, np.nan), ("flag", np.int32, 0)):
-                    frame[c] = np.concatenate([np.asarray(p[c], kind) if c in p else np.full(n, default, kind) for (_, p), n in zip(out, sizes, strict=True)])
-                yield frame
+                for p in parts(value[use], ids[use], ms[use], own[use], np.inf if np.isnan(limit[i]) else limit[i]):
+                    n = len(p["n"])
+                    frame = {"name": np.full(n, None if null[i] else name[i], object), "chunk": np.full(n, chunk[i]), "part": np.full(n, p["part"], np.int32)}
+                    for c, kind, default in (("bin", np.int64, 0), ("n", np.int64, 0), ("value", float, np.nan), ("reading_id", np.int64, 0), ("ms", np.int64, 0), ("away", float, np.nan), ("flag", np.int32, 0)):
+                        frame[c] = np.asarray(p[c], kind) if c in p else np.full(n, default, kind)
+                    if n:
+                        yield pd.DataFrame(frame)
 
     return run
 
 
-def _judge(rules: SpikeRules):
-    """Per source: the scatter and idleness from parts 0 and 1, then the flags of part 2."""
+def _source_stats(parts: DataFrame) -> DataFrame:
+    """s_name, scatter, idle of the long sources; bins and repeated values are summed before they meet."""
+    bins = parts.where("part = 0").groupBy("name", "bin").agg(F.sum("n").alias("n"))
+    w = Window.partitionBy("name")
+    half = bins.withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("all", F.sum("n").over(w)).where(F.col("upto") * 2 >= F.col("all"))
+    mid = half.groupBy("name").agg(F.min("bin").alias("bin"))
+    scatter = mid.select(F.col("name").alias("b_name"), F.when(F.col("bin") == ZERO, F.lit(0.0)).otherwise(F.pow(F.lit(BIN), F.col("bin").cast("double"))).alias("scatter"))
+    values = parts.where("part = 1").groupBy("name", "value").agg(F.sum("n").alias("n"))
+    most = values.groupBy(F.col("name").alias("s_name")).agg(F.max(F.when(~F.isnan("value"), F.col("n"))).alias("most"), F.max(F.when(F.isnan("value"), F.col("n"))).alias("rows"))
+    return most.join(scatter, F.col("s_name").eqNullSafe(F.col("b_name")), "left").select("s_name", F.coalesce("scatter", F.lit(0.0)).alias("scatter"), F.coalesce(F.col("most") * 2 > F.col("rows"), F.lit(False)).alias("idle"))
 
-    def spikes(chunk: np.ndarray, order: np.ndarray, away: np.ndarray, scatter: float) -> np.ndarray:
-        out = np.abs(away) > rules.return_scatters * scatter
-        side = np.sign(away)
-        join = (chunk[1:] == chunk[:-1]) & (order[1:] == order[:-1] + 1) & out[1:] & out[:-1] & (side[1:] == side[:-1])
-        size = np.diff(np.r_[np.flatnonzero(np.r_[True, ~join]), len(away)])
-        return out & np.repeat(size <= rules.spike_run, size) & (np.abs(away) > rules.spike_scatters * scatter)
+
+def _judge_parts(rules: SpikeRules):
+    """The flags of the chunks of long sources, with what is known of their source."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        who: object = run
-        exact, bins, counts, rows, scatter, idle = None, {}, {}, 0, None, False
-        for x in whole_groups(batches, ["name", "part", "bin"], 50_000):
-            name, null = x["name"].to_numpy(), x["name"].isna().to_numpy()
-            part, bin_, n, value = (x[c].to_numpy() for c in ("part", "bin", "n", "value"))
-            ids, ms, away, flag = (x[c].to_numpy() for c in ("reading_id", "ms", "away", "flag"))
-            edges = np.r_[0, np.flatnonzero(~((name[1:] == name[:-1]) | (null[1:] & null[:-1]))) + 1, len(x)].tolist()
-            out = []
+        for x in whole_groups(batches, ["name", "chunk"], 50_000):
+            null, name, chunk = x["name"].isna().to_numpy(), x["name"].to_numpy(), x["chunk"].to_numpy()
+            same = (chunk[1:] == chunk[:-1]) & ((name[1:] == name[:-1]) | (null[1:] & null[:-1]))
+            flag, n, away, scatter, idle = (x[c].to_numpy() for c in ("flag", "n", "away", "scatter", "idle"))
+            flaw = np.where(flag == IMPOSSIBLE, IMPOSSIBLE, np.where((flag == STUCK) & ~idle, STUCK, 0))
+            edges = np.r_[0, np.flatnonzero(~same) + 1, len(x)].tolist()
             for i, j in zip(edges[:-1], edges[1:], strict=True):
-                own = None if null[i] else name[i]
-                if who is run or own != who:
-                    who, exact, bins, counts, rows, scatter, idle = own, None, {}, {}, 0, None, False
-                k1, k2 = i + np.searchsorted(part[i:j], 1), i + np.searchsorted(part[i:j], 2)
-                for k in range(i, k1):
-                    if bin_[k] == WHOLE:
-                        exact = float(value[k])
-                    else:
-                        bins[bin_[k]] = bins.get(bin_[k], 0) + int(n[k])
-                for k in range(k1, k2):
-                    if np.isnan(value[k]):
-                        rows += int(n[k])
-                    else:
-                        counts[value[k]] = counts.get(value[k], 0) + int(n[k])
-                if k2 == j:
-                    continue
-                if scatter is None:
-                    idle = max(counts.values(), default=0) * 2 > rows
-                    scatter = exact if exact is not None else 0.0
-                    if bins:
-                        order = sorted(bins)
-                        total = np.cumsum([bins[b] for b in order])
-                        mid = order[int(np.searchsorted(total, total[-1] / 2))]
-                        scatter = 0.0 if mid == ZERO else float(BIN ** int(mid))
-                g = slice(k2, j)
-                flaw = np.where(flag[g] == IMPOSSIBLE, IMPOSSIBLE, 0)
-                if not idle:
-                    flaw[flag[g] == STUCK] = STUCK
-                    seq = k2 + np.flatnonzero(flag[g] >= OWN)
-                    if len(seq) and scatter > 0:
-                        hit = spikes(bin_[seq], n[seq], away[seq], scatter) & (flag[seq] == OWN)
-                        flaw[seq[hit] - k2] = OWN
-                at = np.flatnonzero(flaw)
-                if len(at):
-                    out.append((own, scatter, flaw[at], k2 + at))
-            if out:
-                sizes = [len(o[3]) for o in out]
-                at = np.concatenate([o[3] for o in out])
-                words = np.array(["", "impossible", "stuck", "spike"], object)
-                yield pd.DataFrame({"name": np.repeat(np.array([o[0] for o in out], object), sizes), "reading_id": ids[at], "ms": ms[at], "flaw": words[np.concatenate([o[2] for o in out])], "distance": away[at], "scatter": np.repeat([o[1] for o in out], sizes)})
+                seq = i + np.flatnonzero(flag[i:j] >= OWN)
+                if len(seq) and not idle[i]:
+                    hit = find_spikes(n[seq], away[seq], float(scatter[i]), rules) & (flag[seq] == OWN)
+                    flaw[seq[hit]] = OWN
+            at = np.flatnonzero(flaw)
+            if len(at):
+                y = x.iloc[at]
+                yield pd.DataFrame({"name": y["name"].to_numpy(), "reading_id": y["reading_id"].to_numpy(), "ms": y["ms"].to_numpy(), "flaw": WORDS[flaw[at]], "distance": y["away"].to_numpy(), "scatter": y["scatter"].to_numpy()})
 
     return run
 
@@ -263,7 +286,18 @@ def flag_readings(df: DataFrame, reading_id: Column, name: Column, ms: Column, v
     # repeated deliveries are counted too, so twice the halo is asked for
     days = good.groupBy("name", day.alias("day")).agg(F.count(F.lit(1)).alias("n"))
     hot = sized_broadcast(_chunks(days, chunk_rows, 2 * HALO))
-    spread = good.withColumn("day", day).join(hot, F.col("name").eqNullSafe(F.col("h_name")) & (F.col("day") == F.col("h_day")), "left")
-    rows = spread.select("reading_id", "name", "ms", "value", "limit", F.coalesce("h_chunk", F.lit(0).cast("long")).alias("chunk"), F.coalesce("h_own", F.lit(True)).alias("own"), F.col("h_chunk").isNull().alias("whole"))
-    parts = rows.repartition("name", "chunk").sortWithinPartitions("name", "chunk", "ms", "reading_id").mapInPandas(_chart(rules), _PARTS)
-    return parts.repartition("name").sortWithinPartitions("name", "part", "bin", "n").mapInPandas(_judge(rules), "name string, reading_id long, ms long, flaw string, distance double, scatter double")
+    own_day = F.col("name").eqNullSafe(F.col("h_name")) & (F.col("day") == F.col("h_day"))
+    keyed = good.withColumn("day", day)
+    none = hot.isEmpty()
+    short = keyed if none else keyed.join(hot, own_day, "left_anti")
+    short = short.select("reading_id", "name", "ms", "value", "limit", F.lit(0).cast("long").alias("chunk"))
+    flags = short.repartition("name").sortWithinPartitions("name", "ms", "reading_id").mapInPandas(_flag_whole(rules), _FLAGS)
+    if none:
+        return flags
+    long = keyed.join(hot, own_day).select("reading_id", "name", "ms", "value", "limit", F.col("h_chunk").alias("chunk"), F.col("h_own").alias("own"))
+    parts = long.repartition("name", "chunk").sortWithinPartitions("name", "chunk", "ms", "reading_id").mapInPandas(_chart_parts(rules), _PARTS).persist()
+    stats = sized_broadcast(_source_stats(parts))
+    marked = parts.where("part = 2").join(stats, F.col("name").eqNullSafe(F.col("s_name"))).select("name", "chunk", "n", "reading_id", "ms", "away", "flag", "scatter", "idle")
+    # a chunk's impossible and stuck readings have no place in its order (n = -1) and come first
+    more = marked.repartition("name", "chunk").sortWithinPartitions("name", "chunk", "n").mapInPandas(_judge_parts(rules), _FLAGS)
+    return flags.unionByName(more)
