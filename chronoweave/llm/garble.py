@@ -152,7 +152,8 @@ def candidates(cell: str, learned: list[tuple[str, str]]) -> list[tuple[str, str
 
 
 def cells_of(df: DataFrame, doc_id: str, text: str) -> DataFrame:
-    """doc_id, damaged (whether the text holds U+FFFD or C1 controls), lines (array of skeleton hash and cells)."""
+    """doc_id, copy (hash of the text: exact copies count once), damaged (whether the text holds U+FFFD or C1 controls), lines
+    (array of skeleton hash and cells)."""
     line = F.split(F.col(text), r"\r\n?|\n")
     touched = F.filter(line, lambda x: x.rlike(r"[^\x00-\x7F]"))
 
@@ -161,14 +162,14 @@ def cells_of(df: DataFrame, doc_id: str, text: str) -> DataFrame:
         key = F.when(F.length(skeleton) >= LINE_SKELETON, F.xxhash64(skeleton, F.lit(1)))
         return F.struct(key.alias("h"), F.regexp_extract_all(x, F.lit(CELL), F.lit(0)).alias("cells"))
 
-    return df.where(F.col(text).rlike(r"[^\x00-\x7F]")).select(F.col(doc_id).alias("doc_id"), F.col(text).rlike(_DAMAGE).alias("damaged"), F.transform(touched, one).alias("lines"))
+    return df.where(F.col(text).rlike(r"[^\x00-\x7F]")).select(F.col(doc_id).alias("doc_id"), F.xxhash64(text).alias("copy"), F.col(text).rlike(_DAMAGE).alias("damaged"), F.transform(touched, one).alias("lines"))
 
 
 def twins(lines: DataFrame, words: DataFrame) -> DataFrame:
     """Pairs garbled -> clean of cells: variants of lines with one skeleton, and of words with one skeleton, each against the
     most frequent variant of its group."""
-    x = lines.select(F.explode("lines").alias("l")).select("l.*").where("h is not null")
-    variants = x.groupBy("h", "cells").agg(F.count(F.lit(1)).alias("n"))
+    x = lines.select("copy", F.explode("lines").alias("l")).select("copy", "l.*").where("h is not null")
+    variants = x.groupBy("h", "cells").agg(F.count_distinct("copy").alias("n"))
     w = Window.partitionBy("h")
     best = F.max(F.struct("n", "cells")).over(w)
     pairs = variants.withColumn("best", best["cells"]).where(F.col("cells") != F.col("best")).where(F.size("cells") == F.size("best"))
@@ -242,8 +243,8 @@ def garbled(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     empty table gives an empty result. Other columns of `df` take no part, whatever their names.
     """
     lines = cells_of(df, doc_id, text).persist()
-    own = lines.select("doc_id", F.explode(F.array_distinct(F.flatten("lines.cells"))).alias("cell"))
-    words = own.groupBy("cell").agg(F.count(F.lit(1)).alias("n")).persist()
+    own = lines.select("doc_id", "copy", F.explode(F.array_distinct(F.flatten("lines.cells"))).alias("cell"))
+    words = own.groupBy("cell").agg(F.count_distinct("copy").alias("n")).persist()
     learned = [(r, w) for r, w, _ in learn(lines, words)]
     always = [(r, "utf-8") for r in READ if (r, "utf-8") not in learned]
     verdict = judge(words, learned + always).persist()

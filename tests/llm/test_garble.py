@@ -84,6 +84,15 @@ def test_empty_and_repeats(spark):
     assert [r["doc_id"] for r in g.garbled(twice).collect()] == [1]
 
 
+def test_many_copies_of_a_garbled_text(spark):
+    rng = random.Random(9)
+    clean = [(i, clean_text("ru", i, rng)) for i in range(12)]
+    bad = misread(SENTENCES["ru"].format(n=5), "koi8-r", "cp1251")
+    rows = clean + [(100 + i, bad) for i in range(60)]
+    got = g.garbled(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert {r["doc_id"] for r in got} == {100 + i for i in range(60)}
+
+
 def test_undo_and_infer():
     assert g.undo("Ã©tÃ©", "cp1252", "utf-8") == ("été", 2, 0)
     assert g.undo("“Ã©", "cp1252", "utf-8") == ("“é", 1, 1)
