@@ -35,8 +35,8 @@ READ = ("latin-1", "cp1252", "cp1250", "cp1251", "cp1254", "cp437", "cp850", "cp
 #: Distinct cells that must support a transformation before it is applied to other records.
 SUPPORT = 2
 
-#: The same for words without ASCII letters, of so many letters at least.
-BARE_SUPPORT, BARE_LETTERS = 3, 4
+#: For words without ASCII letters, of so many characters at least: distinct cells together must have so many changed ones.
+BARE_CHANGES, BARE_LENGTH = 10, 4
 
 #: Transformations may have been applied this many times on top of each other.
 DEPTH = 3
@@ -194,11 +194,11 @@ def learn(lines: DataFrame, words: DataFrame) -> list[tuple[str, str, int]]:
     transformation turns one into the other, a more frequent one.
     """
     votes = twins(lines, words).mapInPandas(_infer, "read string, written string, g string")
-    bare = words.where((F.length("cell") >= BARE_LETTERS) & F.col("cell").rlike(r"^\p{L}+$") & ~F.col("cell").rlike("[A-Za-z]"))
+    bare = words.where((F.length("cell") >= BARE_LENGTH) & F.col("cell").rlike(r"^[^\x00-\x7F]+$"))
     pairs = [(r, w) for w in WRITTEN if w != "utf-8" for r in READ if r != w]
     known = bare.select(F.col("cell").alias("clean"), F.col("n").alias("known"))
-    same = bare.mapInPandas(_propose(pairs), _PROPOSED).join(known, "clean").where(F.col("known") > F.col("n")).select("read", "written", F.col("cell").alias("g"))
-    rare = same.groupBy("read", "written").agg(F.count_distinct("g").alias("n")).where(F.col("n") >= BARE_SUPPORT)
+    same = bare.mapInPandas(_propose(pairs), _PROPOSED).join(known, "clean").where(F.col("known") > F.col("n"))
+    rare = same.groupBy("read", "written").agg(F.count(F.lit(1)).alias("n"), F.sum("done").alias("changes")).where(F.col("changes") >= BARE_CHANGES).drop("changes")
     seen = votes.groupBy("read", "written").agg(F.count_distinct("g").alias("n")).where(F.col("n") >= SUPPORT)
     seen = seen.unionByName(rare).groupBy("read", "written").agg(F.max("n").alias("n"))
     return sorted(((r["read"], r["written"], r["n"]) for r in seen.collect()), key=lambda x: (-x[2], x))
