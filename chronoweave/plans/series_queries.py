@@ -49,7 +49,8 @@ def _stats() -> dict:
     return {"avg_value": {"value": r.avg()}, "max_value": {"value": r.maximum()}, "min_value": {"value": r.minimum()}, "n": {"value": r.count()}}
 
 
-def _rounded(df: DataFrame, *cols: str, places: int = 6) -> DataFrame:
+def _rounded(df: DataFrame, *cols: str, places: int = 9) -> DataFrame:
+    """Doubles to 9 places, where sums differ by the order of addition only; sums themselves to 6."""
     return df.withColumns({c: F.round(F.col(c).cast("double"), places) for c in cols})
 
 
@@ -72,7 +73,7 @@ def group_window_agg(spark: SparkSession, d: str) -> DataFrame:
 
 def global_agg(spark: SparkSession, d: str) -> DataFrame:
     x = Pipeline().from_source(events(spark, d)).group_by("event_type").aggregate({"total": {"value": r.total()}, "n": {"value": r.count()}})
-    return _rounded(out(x.series(), "total", "n", "_group"), "total")
+    return _rounded(out(x.series(), "total", "n", "_group"), "total", places=6)
 
 
 def agg_reducers(spark: SparkSession, d: str) -> DataFrame:
@@ -80,14 +81,16 @@ def agg_reducers(spark: SparkSession, d: str) -> DataFrame:
     p = Pipeline().from_source(s).group_by("event_type")
     kinds = {"total": r.total(), "mean_value": r.avg(), "hi": r.maximum(), "lo": r.minimum(), "n": r.count(), "first_value": r.first(), "last_value": r.last(), "spread": r.difference(), "median_value": r.median(), "sd": r.stddev(), "p90": r.percentile(90)}
     x = p.aggregate({n: {"value": k} for n, k in kinds.items()} | {"kept": {"event_type": r.keep()}, "unkept": {"user_id": r.keep()}})
-    return _rounded(out(x.series(), *kinds, "kept", "unkept").drop("t", "e", "grp"), "total", "mean_value", "sd", "p90", "median_value", "spread")
+    x = _rounded(out(x.series(), *kinds, "kept", "unkept").drop("t", "e", "grp"), "mean_value", "sd", "p90", "median_value", "spread")
+    return _rounded(x, "total", places=6)
 
 
 def agg_policies(spark: SparkSession, d: str) -> DataFrame:
     p = Pipeline().from_source(events(spark, d)).window_by("daily").group_by("event_type")
     fields = {f"{k}_{policy}": {"g": r.BY_NAME[k](policy)} for policy in POLICIES for k in ("sum", "avg", "count", "min", "max", "first", "last")}
     x = out(p.aggregate(fields).series(), *fields, "_group").drop("t", "e")
-    return _rounded(x, *[f for f in fields if f.startswith(("sum", "avg"))])
+    x = _rounded(x, *[f for f in fields if f.startswith("avg")])
+    return _rounded(x, *[f for f in fields if f.startswith("sum")], places=6)
 
 
 def percentile_methods(spark: SparkSession, d: str) -> DataFrame:
@@ -99,7 +102,7 @@ def percentile_methods(spark: SparkSession, d: str) -> DataFrame:
 def quantile_4(spark: SparkSession, d: str) -> DataFrame:
     df = table(spark, d, "events").select("event_type", "value")
     x = interpolated(df, "event_type", "value", {f"q{i}": Fraction(i, 4) for i in (1, 2, 3)})
-    return x.select("event_type", *[F.round(f"q{i}", 6).alias(f"q{i}") for i in (1, 2, 3)])
+    return x.select("event_type", *[F.round(f"q{i}", 9).alias(f"q{i}") for i in (1, 2, 3)])
 
 
 def _flows(spark: SparkSession, d: str) -> Series:

@@ -9,7 +9,7 @@ O = """o AS (SELECT DISTINCT outage_id, name, epoch_us(timerange['begin']) // 10
   FROM outages WHERE timerange['begin'] IS NOT NULL AND timerange['end'] IS NOT NULL)"""
 W = "OVER (PARTITION BY event_type ORDER BY t, event_id)"
 
-_STATS = "round(avg(value), 6) AS avg_value, max(value) AS max_value, min(value) AS min_value, count(*) AS n"
+_STATS = "round(avg(value), 9) AS avg_value, max(value) AS max_value, min(value) AS min_value, count(*) AS n"
 
 # Calendar keys by text, begin and end of their windows.
 _CAL = {"daily": ("%Y-%m-%d", "day"), "monthly": ("%Y-%m", "month"), "yearly": ("%Y", "year")}
@@ -45,7 +45,7 @@ def _policies() -> str:
         first = f"list({v} ORDER BY event_id){where}"
         cols += [
             f"round({a}coalesce(sum({v}), 0){z}, 6) AS sum_{p}",
-            f"round({a}coalesce(avg({v}), 0){z}, 6) AS avg_{p}",
+            f"round({a}coalesce(avg({v}), 0){z}, 9) AS avg_{p}",
             f"{a}{n}{z} AS count_{p}",
             f"{a}min({v}){z} AS min_{p}",
             f"{a}max({v}){z} AS max_{p}",
@@ -62,7 +62,7 @@ def _methods() -> str:
         a, b = f"v[{lo} + 1]", f"v[least({lo} + 2, n)]"
         cols.append(f"""round(CASE WHEN {rest} = 0 OR method = 'lower' THEN {a} WHEN method = 'higher' THEN {b}
   WHEN method = 'nearest' THEN CASE WHEN {rest} < 50 THEN {a} ELSE {b} END
-  WHEN method = 'midpoint' THEN ({a} + {b}) / 2 ELSE {a} + ({b} - {a}) * ({rest} / 100.0) END, 6) AS {name}""")
+  WHEN method = 'midpoint' THEN ({a} + {b}) / 2 ELSE {a} + ({b} - {a}) * ({rest} / 100.0) END, 9) AS {name}""")
     return f"""WITH l AS (SELECT event_type, list(value ORDER BY value) AS v, count(*) AS n FROM events GROUP BY event_type),
 m AS (SELECT unnest(['linear', 'lower', 'higher', 'nearest', 'midpoint']) AS method)
 SELECT event_type, method, {', '.join(cols)} FROM l, m"""
@@ -75,7 +75,7 @@ def _fill(method: str, limit: int | None) -> str:
     value = {
         "zero": f"CASE WHEN g IS NOT NULL THEN g WHEN {near} THEN 0 END",
         "pad": f"CASE WHEN g IS NOT NULL THEN g WHEN {near} THEN pv END",
-        "linear": f"round(CASE WHEN g IS NOT NULL THEN g WHEN {short} AND nv IS NOT NULL THEN pv + (nv - pv) * ((t - pt) / nullif(nt - pt, 0)) END, 6)",
+        "linear": f"round(CASE WHEN g IS NOT NULL THEN g WHEN {short} AND nv IS NOT NULL THEN pv + (nv - pv) * ((t - pt) / nullif(nt - pt, 0)) END, 9)",
     }[method]
     return f"""WITH {E},
 a AS (SELECT *, count(g) {W} AS c,
@@ -100,7 +100,7 @@ al AS (SELECT event_type, event_id, j * {ms} AS t, CASE WHEN pt IS NULL THEN {va
 
 def _rated(source: str, value: str, sign: str = "") -> str:
     r = f"({value} - pv) / nullif((t - pt) / 1000.0, 0)"
-    return f"""SELECT pt AS t, t AS e, event_type, round({sign.format(r=r) if sign else r}, 6) AS {value}_rate
+    return f"""SELECT pt AS t, t AS e, event_type, round({sign.format(r=r) if sign else r}, 9) AS {value}_rate
 FROM (SELECT *, lag(t) {W} AS pt, lag({value}) {W} AS pv FROM {source}) WHERE pt IS NOT NULL"""
 
 
@@ -129,18 +129,18 @@ def series_sql() -> dict[str, str]:
         "rollup_monthly": _calendar("monthly"),
         "rollup_monthly_angeles": _calendar("monthly", -8),
         "rollup_yearly": _calendar("yearly"),
-        "rollup_to_events": f"WITH {E}, x AS (SELECT *, t // 3600000 AS p FROM e) SELECT p * 3600000 + 1800000 AS t, round(avg(value), 6) AS avg_value, count(*) AS n FROM x GROUP BY p",
+        "rollup_to_events": f"WITH {E}, x AS (SELECT *, t // 3600000 AS p FROM e) SELECT p * 3600000 + 1800000 AS t, round(avg(value), 9) AS avg_value, count(*) AS n FROM x GROUP BY p",
         "group_window_agg": f"""WITH {E}, x AS (SELECT *, t // 3600000 AS p FROM e)
-SELECT p * 3600000 AS t, (p + 1) * 3600000 AS e, '1h-' || p AS k, event_type, round(avg(value), 6) AS mean_value, count(*) AS n, round(median(value), 6) AS median_value,
-  round(stddev_pop(value), 6) AS sd, round(max(value) - min(value), 6) AS spread, round(quantile_cont(value, 0.95), 6) AS p95 FROM x GROUP BY p, event_type""",
+SELECT p * 3600000 AS t, (p + 1) * 3600000 AS e, '1h-' || p AS k, event_type, round(avg(value), 9) AS mean_value, count(*) AS n, round(median(value), 9) AS median_value,
+  round(stddev_pop(value), 9) AS sd, round(max(value) - min(value), 9) AS spread, round(quantile_cont(value, 0.95), 9) AS p95 FROM x GROUP BY p, event_type""",
         "global_agg": f"WITH {E} SELECT min(t) AS t, max(t) AS e, event_type AS grp, round(sum(value), 6) AS total, count(*) AS n FROM e GROUP BY event_type",
-        "agg_reducers": f"""WITH {E} SELECT round(sum(value), 6) AS total, round(avg(value), 6) AS mean_value, max(value) AS hi, min(value) AS lo, count(*) AS n,
-  arg_min(value, event_id) AS first_value, arg_max(value, event_id) AS last_value, round(max(value) - min(value), 6) AS spread, round(median(value), 6) AS median_value,
-  round(stddev_pop(value), 6) AS sd, round(quantile_cont(value, 0.9), 6) AS p90, event_type AS kept,
+        "agg_reducers": f"""WITH {E} SELECT round(sum(value), 6) AS total, round(avg(value), 9) AS mean_value, max(value) AS hi, min(value) AS lo, count(*) AS n,
+  arg_min(value, event_id) AS first_value, arg_max(value, event_id) AS last_value, round(max(value) - min(value), 9) AS spread, round(median(value), 9) AS median_value,
+  round(stddev_pop(value), 9) AS sd, round(quantile_cont(value, 0.9), 9) AS p90, event_type AS kept,
   CASE WHEN count(DISTINCT user_id) <= 1 THEN arg_min(user_id, event_id) END AS unkept FROM e GROUP BY event_type""",
         "agg_policies": _policies(),
         "percentile_methods": _methods(),
-        "quantile_4": "SELECT event_type, round(quantile_cont(value, 0.25), 6) AS q1, round(quantile_cont(value, 0.5), 6) AS q2, round(quantile_cont(value, 0.75), 6) AS q3 FROM events GROUP BY event_type",
+        "quantile_4": "SELECT event_type, round(quantile_cont(value, 0.25), 9) AS q1, round(quantile_cont(value, 0.5), 9) AS q2, round(quantile_cont(value, 0.75), 9) AS q3 FROM events GROUP BY event_type",
         "select_cols": f'WITH {F} SELECT t, name, "in", flow_id FROM f',
         "select_nested": f'WITH {F} SELECT t, name, "in" AS "direction.in", "out" AS "direction.out", flow_id FROM f',
         "rename_columns": f'WITH {F} SELECT t, flow_id, "in" AS incoming, "out" AS outgoing FROM f',
@@ -165,9 +165,9 @@ SELECT event_type AS "group", count(*) AS size FROM x GROUP BY 1""",
         "window_counts": f"""WITH {E} SELECT '1h-' || (t // 3600000) AS "window", event_type AS "group", count(*) AS size FROM e GROUP BY 1, 2""",
         "keyed_sizes": f"WITH {E} SELECT '1d-' || (t // 86400000) || '--' || event_type AS key, count(*) AS size FROM e GROUP BY 1",
         "collect_windows": f"WITH {E} SELECT '1d-' || (t // 86400000) AS key, count(*) AS size FROM e GROUP BY 1",
-        "align_linear": f"WITH {E}, {_aligned('linear', None, 3_600_000)} SELECT t, event_type, round(value, 6) AS value FROM al",
-        "align_hold": f"WITH {E}, {_aligned('hold', None, 3_600_000)} SELECT t, event_type, round(value, 6) AS value FROM al",
-        "align_limit": f"WITH {E}, {_aligned('linear', 2, 600_000)} SELECT t, event_type, round(value, 6) AS value FROM al",
+        "align_linear": f"WITH {E}, {_aligned('linear', None, 3_600_000)} SELECT t, event_type, round(value, 9) AS value FROM al",
+        "align_hold": f"WITH {E}, {_aligned('hold', None, 3_600_000)} SELECT t, event_type, round(value, 9) AS value FROM al",
+        "align_limit": f"WITH {E}, {_aligned('linear', 2, 600_000)} SELECT t, event_type, round(value, 9) AS value FROM al",
         "rate": f"WITH {E} {_rated('e', 'value')}",
         "rate_non_negative": f"WITH {E} {_rated('e', 'value', 'CASE WHEN {r} >= 0 THEN {r} END')}",
         "align_then_rate": f"WITH {E}, {_aligned('linear', None, 3_600_000)} {_rated('al', 'value')}",
@@ -188,7 +188,7 @@ SELECT outage_id, pb <= b AND pe >= e AS contains, b <= pb AND e >= pe AS within
         "merge_series": f"""WITH {F} SELECT t, name, arg_max("in", flow_id) FILTER (WHERE "in" IS NOT NULL) AS "in", arg_max("out", flow_id) FILTER (WHERE "out" IS NOT NULL) AS "out"
 FROM f WHERE "in" IS NOT NULL OR "out" IS NOT NULL GROUP BY t, name""",
         "sum_series": f"WITH {E}, {_HOURS} SELECT t, e, k, sum(n)::BIGINT AS n FROM h GROUP BY t, e, k",
-        "combine_avg": f"WITH {E}, {_HOURS} SELECT t, e, k, round(avg(n), 6) AS n, round(avg(value), 6) AS value FROM h GROUP BY t, e, k",
+        "combine_avg": f"WITH {E}, {_HOURS} SELECT t, e, k, round(avg(n), 9) AS n, round(avg(value), 9) AS value FROM h GROUP BY t, e, k",
         "combine_last": f"WITH {E}, {_HOURS} SELECT t, e, k, arg_max(value, event_type) AS value FROM h GROUP BY t, e, k",
         "reduce_list": f"WITH {E}, {_HOURS} SELECT t, e, k, arg_max(n, event_type) AS n, arg_max(value, event_type) AS value FROM h GROUP BY t, e, k",
         "dedup_last": f"""WITH {F} SELECT t, name, max(flow_id) AS flow_id, arg_max("in", flow_id) FILTER (WHERE "in" IS NOT NULL) AS "in", arg_max("out", flow_id) FILTER (WHERE "out" IS NOT NULL) AS "out" FROM f GROUP BY t, name""",
@@ -223,10 +223,10 @@ SELECT '[' || (epoch_us(p['time']) // 1000) || ',' || batch_id || ',' || p['valu
         "wire_round_trip": f"WITH {E} SELECT user_id::VARCHAR AS name, t, event_id, value, event_type FROM e",
         "stream_update": f"WITH {E} SELECT '1d-' || (t // 86400000) AS k, event_type AS grp, {_STATS} FROM e GROUP BY 1, 2",
         "stream_discard": f"""WITH {E}, x AS (SELECT t // 86400000 AS p, value FROM e)
-SELECT '1d-' || p AS k, round(avg(value), 6) AS avg_value, count(*) AS n FROM x WHERE (p + 1) * 86400000 <= (SELECT max(t) FROM e) GROUP BY p""",
-        "stream_flush": f"WITH {E} SELECT strftime(make_timestamp(t * 1000), '%Y-%m') AS k, event_type AS grp, round(avg(value), 6) AS avg_value, count(*) AS n FROM e GROUP BY 1, 2",
+SELECT '1d-' || p AS k, round(avg(value), 9) AS avg_value, count(*) AS n FROM x WHERE (p + 1) * 86400000 <= (SELECT max(t) FROM e) GROUP BY p""",
+        "stream_flush": f"WITH {E} SELECT strftime(make_timestamp(t * 1000), '%Y-%m') AS k, event_type AS grp, round(avg(value), 9) AS avg_value, count(*) AS n FROM e GROUP BY 1, 2",
         "stream_rate": f"WITH {E} {_rated('e', 'value')}",
-        "stream_align": f"WITH {E}, {_aligned('linear', None, 3_600_000)} SELECT t, event_type, round(value, 6) AS value FROM al",
+        "stream_align": f"WITH {E}, {_aligned('linear', None, 3_600_000)} SELECT t, event_type, round(value, 9) AS value FROM al",
         "stream_take": f"WITH {E} SELECT t, event_id, event_type FROM e QUALIFY row_number() {W} <= 10",
         "stream_fill_pad": _fill("pad", None),
     }
