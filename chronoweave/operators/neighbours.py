@@ -22,7 +22,8 @@ def add_neighbours(df: DataFrame, by: list[str], ms: str, order: str, marks: dic
     keys = [F.struct(*[F.col(b) for b in by]).alias(SERIES)] if by else [F.lit(0).alias(SERIES)]
     x = df.withColumn(SERIES, keys[0])
     if split_ms is not None:
-        x = x.withColumn(BUCKET, F.floor(F.col(ms) / F.lit(split_ms)))
+        # rows without a time come first, as they do in the order within one partition
+        x = x.withColumn(BUCKET, F.coalesce(F.floor(F.col(ms) / F.lit(split_ms)), F.lit(-(1 << 62))))
     part = [SERIES] if split_ms is None else [SERIES, BUCKET]
     w = Window.partitionBy(*part).orderBy(ms, order)
     x = x.withColumn(POS, F.row_number().over(w).cast("long"))

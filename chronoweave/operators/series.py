@@ -182,9 +182,12 @@ class Series:
     # building
 
     @classmethod
-    def from_frame(cls, df: DataFrame, time: Column | str | None = None, begin: Column | str | None = None, end: Column | str | None = None, index: Column | str | None = None, order: Column | str | None = None, by: tuple[str, ...] | list[str] = (), meta: Mapping[str, Any] | None = None, split_ms: int | None = SPLIT_MS, tz: str = "UTC") -> Series:
+    def from_frame(cls, df: DataFrame, time: Column | str | None = None, begin: Column | str | None = None, end: Column | str | None = None, index: Column | str | None = None, order: Column | str | None = None, by: tuple[str, ...] | list[str] = (), meta: Mapping[str, Any] | None = None, split_ms: int | None = SPLIT_MS, tz: str = "UTC", span: TimeRange | None = None) -> Series:
         """A series of the rows of a DataFrame: give `time`, or `begin` and `end`, or `index`.
 
+        `span` keeps the rows whose time (or begin) lies in a range, both ends included, by a condition on the given column
+        itself, so that it reaches the scan.
+
         Times are TIMESTAMP (an instant), TIMESTAMP_NTZ (read as UTC) or whole milliseconds; microseconds are cut. `order`
         breaks ties in time and should be unique per series; without it the order of arrival in the scan does. Time columns
         given by name leave the data. Data columns must not begin with an underscore of this class.
@@ -204,6 +207,19 @@ class Series:
                 return col.cast("long")
             raise TimeError(f"not a time column: {kind.simpleString()}")
 
+        if span is not None:
+            if time is None and begin is None:
+                raise SeriesError("a span needs a time column")
+            source = time if time is not None else begin
+            at = F.col(f"`{source}`") if isinstance(source, str) else source
+            kind = df.select(at.alias("c")).schema["c"].dataType
+            if isinstance(kind, T.TimestampType):
+                lo, hi = (F.timestamp_millis(F.lit(x)) for x in (span.begin, span.end + 1))
+            elif isinstance(kind, T.TimestampNTZType):
+                lo, hi = (F.timestamp_add("MILLISECOND", F.lit(x), F.lit("1970-01-01 00:00:00").cast("timestamp_ntz")) for x in (span.begin, span.end + 1))
+            else:
+                lo, hi = F.lit(span.begin), F.lit(span.end + 1)
+            df = df.where((at >= lo) & (at < hi))
         rank = F.monotonically_increasing_id() if order is None else F.col(f"`{order}`") if isinstance(order, str) else order
         gone = {c for c in (time, begin, end, index) if isinstance(c, str)}
         data = [F.col(f"`{c}`") for c in df.columns if c not in gone]
@@ -443,7 +459,7 @@ class Series:
         return self._unplaced(kept.drop("_lo", "_hi"))
 
     def between(self, span: TimeRange) -> Series:
-        """Rows whose time lies in a range, both ends included: a filter that reaches the scan."""
+        """Rows whose time lies in a range, both ends included; `span` of `from_frame` does it in the scan."""
         return self.with_df(self.df.where(F.col("_t").between(span.begin, span.end)))
 
     def _with(self, x: DataFrame, small: DataFrame) -> DataFrame:

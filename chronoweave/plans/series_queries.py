@@ -327,6 +327,11 @@ def crop(spark: SparkSession, d: str) -> DataFrame:
     return out(events(spark, d).crop(WEEK), "event_id")
 
 
+def span_scan(spark: SparkSession, d: str) -> DataFrame:
+    """The same range as `between`, cut out by the scan."""
+    return out(Series.from_frame(table(spark, d, "events"), time="ts", order="event_id", span=WEEK), "event_id")
+
+
 def between(spark: SparkSession, d: str) -> DataFrame:
     return out(events(spark, d).between(WEEK), "event_id")
 
@@ -490,6 +495,6 @@ def series_queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         q[f"as_events_{a}"] = _as_events(a)
     for a in ("front", "center", "behind"):
         q[f"as_time_ranges_{a}"] = _as_ranges(a)
-    for f in (rollup_to_events, group_window_agg, global_agg, agg_reducers, agg_policies, percentile_methods, quantile_4, select_cols, select_nested, rename_columns, offset_by, filter_gt, clean_valid, size_valid, map_columns, map_rows, filter_rows, take_global, take_per_group, take_per_window_group, filter_take_count, window_counts, keyed_sizes, collect_windows, align_then_rate, fill_align_rate, as_indexed, index_ranges, calendar_keys, index_lists, range_extents, range_algebra, merge_series, sum_series, combine_avg, combine_last, reduce_list, dedup_last, duplicate_keys, rows_by_key, columns_as_lists, crop, between, slice_positions, slice_from_end, at_time, as_of, bisect_pos, at_position, first_last, at_key, sort_by_value, nice_index, time_text, month_shift, wire_points, wire_round_trip, series_points_wire, stream_update, stream_discard, stream_flush):
+    for f in (rollup_to_events, group_window_agg, global_agg, agg_reducers, agg_policies, percentile_methods, quantile_4, select_cols, select_nested, rename_columns, offset_by, filter_gt, clean_valid, size_valid, map_columns, map_rows, filter_rows, take_global, take_per_group, take_per_window_group, filter_take_count, window_counts, keyed_sizes, collect_windows, align_then_rate, fill_align_rate, as_indexed, index_ranges, calendar_keys, index_lists, range_extents, range_algebra, merge_series, sum_series, combine_avg, combine_last, reduce_list, dedup_last, duplicate_keys, rows_by_key, columns_as_lists, crop, between, span_scan, slice_positions, slice_from_end, at_time, as_of, bisect_pos, at_position, first_last, at_key, sort_by_value, nice_index, time_text, month_shift, wire_points, wire_round_trip, series_points_wire, stream_update, stream_discard, stream_flush):
         q[f.__name__] = f
     return q

@@ -199,6 +199,7 @@ SELECT name, string_agg(avail_id::VARCHAR, ',' ORDER BY avail_id) AS ids, string
         "crop": f"""WITH {E}, {_POS}, lo AS {_bisect(_SPAN[0])}, q AS (SELECT p.*, lo.found AS lo FROM p JOIN lo USING (event_type) WHERE pos >= lo.found),
 hi AS {_bisect(_SPAN[1]).replace("FROM p ", "FROM q ")} SELECT t, event_id FROM q JOIN hi USING (event_type) WHERE pos < hi.found""",
         "between": f"WITH {E} SELECT t, event_id FROM e WHERE t BETWEEN {_SPAN[0]} AND {_SPAN[1]}",
+        "span_scan": f"WITH {E} SELECT t, event_id FROM e WHERE t BETWEEN {_SPAN[0]} AND {_SPAN[1]}",
         "slice_positions": f"WITH {E}, {_POS} SELECT t, event_id FROM p WHERE pos >= 5 AND pos < 105",
         "slice_from_end": f"WITH {E}, {_POS} SELECT t, event_id FROM p WHERE pos >= n - 20 AND pos < n - 10",
         "at_time": f"WITH {E}, {_POS}, b AS {_bisect(str(_PROBE))} SELECT t, event_id FROM p JOIN b USING (event_type) WHERE pos = found",

@@ -62,6 +62,20 @@ def test_against_steps(spark, seed, split):
             assert all(close(c, p[1]) for (_, _, c), (_, p) in zip(got.get(k, []), want, strict=True))
 
 
+def test_rows_without_time_and_spans(spark):
+    from pyspark.sql import functions as F
+
+    from chronoweave.operators.series import TimeRange
+
+    rows = [("a", None, 0, None, 1), ("a", 5, 1, 2.0, 1), ("a", 20_005, 2, None, 1), ("b", None, 3, 7.0, 1)]
+    df = spark.createDataFrame(rows, SCHEMA)
+    got = [{r["id"]: r["v"] for r in Series.from_frame(df, time="t", order="id", by=("k",), split_ms=x).fill("v", "pad").df.collect()} for x in (None, 10_000)]
+    assert got[0] == got[1] == {0: None, 1: 2.0, 2: 2.0, 3: 7.0}
+    at = df.select("id", F.timestamp_millis("t").alias("ts"), F.timestamp_millis("t").cast("timestamp_ntz").alias("nt"), "t")
+    for c in ("ts", "nt", "t"):
+        assert [r["id"] for r in Series.from_frame(at, time=c, order="id", span=TimeRange(5, 20_004)).df.select(F.col("_ord").alias("id")).collect()] == [1]
+
+
 def test_wire_files(spark, tmp_path):
     from chronoweave.sources.wire import read_wire_files, write_wire
 
