@@ -114,7 +114,7 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             ids = np.concatenate(parts) if parts else np.zeros(0, np.uint32)
             small = len(ids) == 0 or int(ids.max()) < 1 << 16
             docs.append((doc, b"\2" + ids.astype("<u2").tobytes() if small else b"\4" + ids.astype("<u4").tobytes()))
-            size += len(text or "")
+            size += len(text or "") + 64
             if size >= BLOCK_CHARS:
                 yield from flush()
                 words, docs, size, number = _Numbers(), [], 0, number + 1
