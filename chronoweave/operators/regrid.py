@@ -13,6 +13,10 @@ from pyspark.sql import functions as F
 #: Slots that one row of the grid's first expansion covers.
 GRID_BLOCK = 4096
 
+#: Least determinant of the normal equations, relative to the sum of weights to the power of their size, by degree. Readings
+#: that lie closer together than this says do not determine a slope or a curve; the fit is then of a lower degree.
+LEAST_SPREAD = {1: 1e-2, 2: 1e-5}
+
 UNIT_MS = {"s": 1_000, "m": 60_000, "h": 3_600_000, "d": 86_400_000}
 
 
@@ -65,13 +69,13 @@ def regular_series(readings: DataFrame, radius: int = 3, degree: int = 1, min_su
     fit = F.try_divide(c["t0"], c["s0"])
     if degree >= 1:
         det = c["s0"] * c["s2"] - c["s1"] * c["s1"]
-        fit = F.when(det > 1e-9 * c["s0"] * c["s0"], (c["s2"] * c["t0"] - c["s1"] * c["t1"]) / det).otherwise(fit)
+        fit = F.when(det > LEAST_SPREAD[1] * c["s0"] * c["s0"], (c["s2"] * c["t0"] - c["s1"] * c["t1"]) / det).otherwise(fit)
     if degree == 2:
         a = c["s2"] * c["s4"] - c["s3"] * c["s3"]
         b = c["s1"] * c["s4"] - c["s2"] * c["s3"]
         e = c["s1"] * c["s3"] - c["s2"] * c["s2"]
         det = c["s0"] * a - c["s1"] * b + c["s2"] * e
-        fit = F.when(det > 1e-9 * c["s0"] * c["s0"] * c["s0"], (c["t0"] * a - c["t1"] * b + c["t2"] * e) / det).otherwise(fit)
+        fit = F.when(det > LEAST_SPREAD[2] * c["s0"] * c["s0"] * c["s0"], (c["t0"] * a - c["t1"] * b + c["t2"] * e) / det).otherwise(fit)
     support = F.coalesce(F.try_divide(c["s0"] * c["s0"], c["q"]), F.lit(0.0))
     mark = F.when(F.col("n") > 0, "observed").when(support >= min_support, "filled").otherwise("missing")
     return m.select("source", "step_ms", (F.col("j") * F.col("step_ms")).alias("slot_ms"), "n", F.when(mark != "missing", fit).alias("value"), support.alias("support"), mark.alias("mark"))

@@ -85,13 +85,18 @@ def p2_periods(spark: SparkSession, folder: str) -> DataFrame:
     return outage_periods(spark, folder).where("kind = 'period'").select(F.col("entity").alias("name"), "begin_ms", "end_ms", "n_records")
 
 
-def p3_regular(spark: SparkSession, folder: str) -> DataFrame:
+def regular(spark: SparkSession, folder: str) -> DataFrame:
     df = table(spark, folder, "series_points").select(F.col("name").alias("source"), step_millis(F.col("step")).alias("step_ms"), F.explode("points").alias("p"))
     return regular_series(df.select("source", "step_ms", millis(F.col("p")["time"]).alias("ms"), F.col("p")["value"].alias("value")))
 
 
+def p3_regular(spark: SparkSession, folder: str) -> DataFrame:
+    """The regular series, its doubles to six places."""
+    return regular(spark, folder).withColumns({c: F.round(c, 6) for c in ("value", "support")})
+
+
 def p3_found(spark: SparkSession, folder: str) -> DataFrame:
-    return p3_regular(spark, folder).where("n = 0 and mark in ('filled', 'missing')").select(F.col("source").alias("name"), "slot_ms")
+    return regular(spark, folder).where("n = 0 and mark in ('filled', 'missing')").select(F.col("source").alias("name"), "slot_ms")
 
 
 def p4_flags(spark: SparkSession, folder: str) -> DataFrame:

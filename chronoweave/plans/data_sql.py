@@ -69,6 +69,29 @@ g AS (
 SELECT name, k * step_ms AS slot_ms FROM g ANTI JOIN s USING (name, step_ms, k)
 """
 
+# The local line with radius 3 and the tricube kernel, per grid time, from the readings in reach.
+P3_REGULAR = """
+WITH p AS (
+  SELECT name, CASE step WHEN '30s' THEN 30000 WHEN '1m' THEN 60000 WHEN '5m' THEN 300000 WHEN '15m' THEN 900000 END AS step_ms, unnest(points) AS p FROM series_points),
+r AS (
+  SELECT DISTINCT name, step_ms, epoch_us(p['time']) // 1000 AS ms, (epoch_us(p['time']) // 1000) // step_ms AS k, p['value'] AS y FROM p
+  WHERE p['time'] IS NOT NULL AND p['value'] IS NOT NULL AND NOT isnan(p['value'])),
+g AS (
+  SELECT name, step_ms, unnest(generate_series(min(k), max(k))) AS j FROM r GROUP BY name, step_ms),
+x AS (SELECT name, step_ms, unnest(generate_series(k - 2, k + 3)) AS j, k, ms, y FROM r),
+d AS (SELECT *, (ms - j * step_ms) / (step_ms * 3.0) AS d FROM x),
+w AS (SELECT *, pow(1 - pow(abs(d), 3), 3) AS w FROM d WHERE abs(d) < 1),
+m AS (
+  SELECT name, step_ms, j, sum(CASE WHEN j = k THEN 1 ELSE 0 END) AS n, sum(w) AS s0, sum(w * w) AS q, sum(w * d) AS s1, sum(w * d * d) AS s2, sum(w * y) AS t0, sum(w * d * y) AS t1
+  FROM w GROUP BY name, step_ms, j),
+f AS (
+  SELECT name, step_ms, j, coalesce(n, 0)::BIGINT AS n, coalesce(s0 * s0 / q, 0) AS support,
+    CASE WHEN s0 * s2 - s1 * s1 > 0.01 * s0 * s0 THEN (s2 * t0 - s1 * t1) / (s0 * s2 - s1 * s1) ELSE t0 / s0 END AS fit
+  FROM g LEFT JOIN m USING (name, step_ms, j)),
+o AS (SELECT *, CASE WHEN n > 0 THEN 'observed' WHEN support >= 1.5 THEN 'filled' ELSE 'missing' END AS mark FROM f)
+SELECT name AS source, step_ms, j * step_ms AS slot_ms, n, CASE WHEN mark <> 'missing' THEN round(fit, 6) END AS value, round(support, 6) AS support, mark FROM o
+"""
+
 P5 = f"""
 WITH {_READS},
 r AS (
@@ -83,4 +106,4 @@ FROM r GROUP BY name
 
 
 def data_sql() -> dict[str, str]:
-    return {"p1_found": P1, "p2_found": P2, "p2_periods": P2_PERIODS, "p3_found": P3, "p5_percentiles": P5, "p5_merged_days": P5}
+    return {"p1_found": P1, "p2_found": P2, "p2_periods": P2_PERIODS, "p3_found": P3, "p3_regular": P3_REGULAR, "p5_percentiles": P5, "p5_merged_days": P5}

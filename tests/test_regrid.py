@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chronoweave.operators.regrid import regular_series, step_millis
+from chronoweave.operators.regrid import LEAST_SPREAD, regular_series, step_millis
 
 SCHEMA = "source string, step_ms long, ms long, value double"
 
@@ -31,12 +31,21 @@ def test_against_least_squares(spark, degree):
         assert r["mark"] == ("observed" if r["n"] else "filled" if support >= 1.5 else "missing")
         if r["mark"] == "missing":
             assert r["value"] is None
-        elif (w > 1e-3).sum() > degree + 2:
-            x = np.stack([d**p for p in range(degree + 1)], axis=1)
+            continue
+        m = [(w * d**p).sum() for p in range(5)]
+        dets = {1: m[0] * m[2] - m[1] ** 2, 2: np.linalg.det([m[0:3], m[1:4], m[2:5]])}
+        fit = max([0] + [k for k in (1, 2) if k <= degree and dets[k] > 1.1 * LEAST_SPREAD[k] * m[0] ** (k + 1)])
+        if all(abs(dets[k] / m[0] ** (k + 1) / LEAST_SPREAD[k] - 1) > 0.1 for k in (1, 2)):
+            x = np.stack([d**p for p in range(fit + 1)], axis=1)
             beta = np.linalg.lstsq(x * np.sqrt(w)[:, None], y * np.sqrt(w), rcond=None)[0]
             assert r["value"] == pytest.approx(beta[0], abs=1e-5)
 
 
+def test_close_readings_give_no_slope(spark):
+    got = run(spark, [("a", 1000, 0, 1.0), ("a", 1000, 1, 500.0), ("a", 1000, 3000, 2.0)])
+    assert 240 < got["a", 0]["value"] < 260
+
+
 def test_dirty_points(spark):
     rows = [("a", 1000, 0, 1.0), ("a", 1000, 0, 1.0), ("a", 1000, 0, 3.0), ("a", 1000, 5500, float("nan")), ("a", 1000, 5500, None), ("a", 1000, None, 2.0), ("a", None, 3, 2.0), ("a", 1000, 4000, 2.0), (None, 1000, 10, 1.0)]
     got = run(spark, rows)
