@@ -15,6 +15,7 @@ from chronoweave.functions import timekeys as tk
 from chronoweave.functions.paths import Path, Spec, column, quoted, resolve
 from chronoweave.functions.reducers import Reducer, reducer
 from chronoweave.operators.series import INDEX, RANGE, Series
+from chronoweave.streaming import stateful
 
 EMIT = ("eachEvent", "discard", "flush")
 GROUP = "_group"
@@ -146,13 +147,20 @@ class Pipeline:
     def offset_by(self, by: float, fields: Spec = None) -> Pipeline:
         return self._then(self.series().offset_by(by, fields))
 
-    def fill(self, fields: Spec = None, method: str = "zero", fill_limit: int | None = None) -> Pipeline:
+    def fill(self, fields: Spec = None, method: str = "zero", fill_limit: int | None = None, flush_after: str | None = None) -> Pipeline:
+        """See `Series.fill`; of a stream, by state per series (`flush_after`: see `stream_fill`)."""
+        if self.mode == "stream":
+            return self._then(stateful.stream_fill(self.series(), fields, method, fill_limit, flush_after))
         return self._then(self.series().fill(fields, method, fill_limit))
 
     def align(self, fields: Spec = None, window: str = "5m", method: str = "linear", limit: int | None = None) -> Pipeline:
+        if self.mode == "stream":
+            return self._then(stateful.stream_align(self.series(), fields, window, method, limit))
         return self._then(self.series().align(fields, window, method, limit))
 
     def rate(self, fields: Spec = None, allow_negative: bool = True) -> Pipeline:
+        if self.mode == "stream":
+            return self._then(stateful.stream_rate(self.series(), fields, allow_negative))
         return self._then(self.series().rate(fields, allow_negative))
 
     def as_events(self, alignment: str = "center") -> Pipeline:
@@ -168,6 +176,10 @@ class Pipeline:
         """The first rows by arrival, per window and group. Without either that is a top-k; with them, the window function is cut
         to `limit` rows per group before the shuffle."""
         s = self.series()
+        if self.mode == "stream":
+            keyed = replace(s.with_df(s.df.withColumn("_wk", self.window_key()).withColumn("_gk", self.group_key().cast("string"))), by=("_wk", "_gk"))
+            taken = stateful.stream_take(keyed, limit)
+            return self._then(replace(taken.with_df(taken.df.drop("_wk", "_gk")), by=s.by))
         if self.window_kind == "global" and self.group is None:
             return self._then(s.with_df(s.df.orderBy("_ord").limit(limit)))
         w = Window.partitionBy(self.window_key(), self.group_key()).orderBy("_ord")

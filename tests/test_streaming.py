@@ -80,6 +80,17 @@ def test_take(spark, folder, tmp_path):
     assert got.groupBy("k").count().where("count = 5").count() == 2
 
 
+def test_pipelines_of_streams_use_the_stateful_steps(spark, folder, tmp_path):
+    def make(s):
+        return Pipeline().from_source(s).filter(F.col("v").isNotNull()).rate("v")
+
+    cols = ("k", "_t", "_e", "v_rate")
+    assert table(streamed(spark, folder, make, tmp_path / "a"), *cols) == table(batch(spark).clean("v").rate("v").df, *cols)
+    got = streamed(spark, folder, lambda s: Pipeline().from_source(s).window_by("1h").group_by("k").take(2), tmp_path / "b")
+    want = Pipeline().from_source(batch(spark)).window_by("1h").group_by("k").take(2).series().df
+    assert table(got, "k", "_t", "id") == table(want, "k", "_t", "id")
+
+
 def test_windows_by_trigger(spark, folder, tmp_path):
     fields = {"n": {"v": r.count()}, "hi": {"v": r.maximum()}, "last": {"v": r.last()}}
     want = table(Pipeline().from_source(batch(spark)).window_by("10m").group_by("k").aggregate(fields).series().df, "_k", "_group", "n", "hi", "last")
