@@ -29,7 +29,7 @@ SPAN = 12
 TEST_WINDOWS = 2_000_000
 
 _KEYED = r"(?:[A-Za-z]*cite[A-Za-z]*|label|bibitem|[A-Za-z]*ref)\*?(?:\s*\[[^\]]*\])*\s*\{[^{}]*\}"
-_MARKUP = re.compile(rf"\\(?:{_KEYED}|(?:begin|end)\s*\{{[^{{}}]*\}}|[A-Za-z@]+\*?)")
+_MARKUP = re.compile(rf"\\(?:hyperref\s*\[[^\]]*\]|{_KEYED}|(?:begin|end)\s*\{{[^{{}}]*\}}|[A-Za-z@]+\*?)")
 _BROKEN = re.compile(r"(?<=[^\W\d_])-[ \t]*\r?\n[ \t]*%*[ \t]*(?=[^\W\d_])")
 _WORD = re.compile(r"[^\W_]+")
 

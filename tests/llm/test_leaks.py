@@ -78,6 +78,7 @@ def test_substitutions_are_met_by_the_seeds(spark):
 def test_words():
     text = "The bi-\n%% nary~\\textbf{Tree}\\label{sec:x} of \\citep[see][p. 3]{knuth1973,other} size\\,5 dis\\-play \\begin{center}a_b\\end{center} semi-\r\n colon re- mark \\ref{fig:y}"
     assert lk.words(text) == ["the", "binary", "tree", "of", "size", "5", "display", "a", "b", "semicolon", "re", "mark"]
+    assert lk.words("see \\hyperref[sec:a]{that part} and \\href{http://x.y}{here}") == ["see", "that", "part", "and", "here"]
     assert lk.words("") == []
 
 
