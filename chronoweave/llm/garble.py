@@ -7,8 +7,10 @@
    transformations are inferred: pairs of encodings (bytes written in one, read in the other) that turn the clean cell
    into the garbled one. Pairs that several cells support are learned.
 3. The learned transformations are applied backwards to all cells of the corpus. A cell counts as garbled if what comes
-   out is a known, more frequent word, or is written in well-formed multi-byte sequences; characters that only damage
-   leaves behind (U+FFFD, C1 controls) speak for themselves.
+   out is a known, more frequent word, is a known word of a more usual form (one alphabet, usual case), or is written in
+   well-formed multi-byte sequences; characters that only damage leaves behind (U+FFFD, C1 controls) speak for themselves.
+   Single-byte misreadings count words also by distinct places (the cells before and after them), where variants of one
+   text that share a passage count as one.
 4. A document is found if it has a cell of strong evidence or several of weak evidence for one transformation.
 
 Reading bytes of UTF-8 in a single-byte encoding leaves well-formed multi-byte sequences, so those transformations are
@@ -136,6 +138,18 @@ def odd(cell: str) -> bool:
     return inside and any(c >= "\x80" and unicodedata.category(c) in ("Sm", "So", "Sc", "Sk", "No", "Po") and c not in "¿¡…" for c in cell)
 
 
+def strange(cell: str) -> int:
+    """How unusual the form of a word is, whatever its frequency: 2 for odd words, changing case inside a run of letters, and
+    Latin words of three letters and more that are all accented; 1 for capitals only; else 0."""
+    runs = re.findall(r"[^\W\d_]+", cell)
+    if odd(cell) or any(not (x.islower() or x.isupper() or x[1:].islower() or x.lower() == x.upper()) for x in runs):
+        return 2
+    letters = "".join(runs)
+    if len(letters) > 2 and all(c >= "\x80" and _script(c) == "LATIN" for c in letters):
+        return 2
+    return int(len(letters) > 1 and letters.isupper())
+
+
 def candidates(cell: str, learned: list[tuple[str, str]]) -> list[tuple[str, str, str, int, int]]:
     """What the cell may have been: (text, read, written, characters put right, non-ASCII characters left)."""
     out: dict[tuple[str, str, str], tuple[str, str, str, int, int]] = {}
@@ -167,7 +181,7 @@ def cells_of(df: DataFrame, doc_id: str, text: str) -> DataFrame:
 
 def twins(lines: DataFrame, words: DataFrame) -> DataFrame:
     """Pairs garbled -> clean of cells: variants of lines with one skeleton, and of words with one skeleton, each against the
-    most frequent variant of its group."""
+    most frequent variant of its group. The more frequent one may still be the garbled one."""
     x = lines.select("copy", F.explode("lines").alias("l")).select("copy", "l.*").where("h is not null")
     variants = x.groupBy("h", "cells").agg(F.count_distinct("copy").alias("n"))
     w = Window.partitionBy("h")
@@ -175,14 +189,16 @@ def twins(lines: DataFrame, words: DataFrame) -> DataFrame:
     pairs = variants.withColumn("best", best["cells"]).where(F.col("cells") != F.col("best")).where(F.size("cells") == F.size("best"))
     a = pairs.select(F.explode(F.arrays_zip(F.col("cells").alias("g"), F.col("best").alias("c"))).alias("z")).select("z.g", "z.c").where("g != c")
     s = words.withColumn("s", F.regexp_replace("cell", "[^A-Za-z]", "")).where(F.length("s") >= WORD_SKELETON)
-    top = s.groupBy("s").agg(F.max_by("cell", F.struct("n", "cell")).alias("c"), F.max("n").alias("top"))
-    b = s.join(top, "s").where((F.col("cell") != F.col("c")) & (F.col("n") < F.col("top"))).select(F.col("cell").alias("g"), "c")
+    # by copies and by places
+    top = s.groupBy("s").agg(F.array_distinct(F.array(*(F.max(F.struct(*k, "cell"))["cell"] for k in (("copies",), ("n", "copies"))))).alias("c"), F.max("copies").alias("copies_"), F.max("n").alias("n_"))
+    b = s.join(top, "s").where((F.col("copies") < F.col("copies_")) | (F.col("n") < F.col("n_"))).select(F.col("cell").alias("g"), F.explode("c").alias("c")).where("g != c")
     return a.unionByName(b).distinct()
 
 
 def _infer(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     for x in frames:
-        out = [(r, w, g) for g, c in x[["g", "c"]].itertuples(index=False) for r, w in infer(g, c)]
+        turned = [(c, g) if strange(c) > strange(g) else (g, c) for g, c in x[["g", "c"]].itertuples(index=False)]
+        out = [(r, w, g) for g, c in turned for r, w in infer(g, c)]
         if out:
             yield pd.DataFrame(out, columns=["read", "written", "g"])
 
@@ -191,48 +207,73 @@ def learn(lines: DataFrame, words: DataFrame) -> list[tuple[str, str, int]]:
     """(read, written, support) of the transformations seen in twins; at most one per pair of encodings reaches the driver.
 
     Words without any ASCII letter all have the same skeleton, so for scripts other than Latin they are twins if one
-    transformation turns one into the other, a more frequent one.
+    transformation turns one into the other, a more frequent one or one of more usual form.
     """
     votes = twins(lines, words).mapInPandas(_infer, "read string, written string, g string")
     bare = words.where((F.length("cell") >= BARE_LENGTH) & F.col("cell").rlike(r"^[^\x00-\x7F]+$"))
     pairs = [(r, w) for w in WRITTEN if w != "utf-8" for r in READ if r != w]
-    known = bare.select(F.col("cell").alias("clean"), F.col("n").alias("known"))
-    same = bare.mapInPandas(_propose(pairs), _PROPOSED).join(known, "clean").where(F.col("known") > F.col("n"))
+    same = bare.mapInPandas(_propose(pairs), _PROPOSED).join(_known(bare), "clean").where(_better() | _usual())
     rare = same.groupBy("read", "written").agg(F.count(F.lit(1)).alias("n"), F.sum("done").alias("changes")).where(F.col("changes") >= BARE_CHANGES).drop("changes")
     seen = votes.groupBy("read", "written").agg(F.count_distinct("g").alias("n")).where(F.col("n") >= SUPPORT)
     seen = seen.unionByName(rare).groupBy("read", "written").agg(F.max("n").alias("n"))
     return sorted(((r["read"], r["written"], r["n"]) for r in seen.collect()), key=lambda x: (-x[2], x))
 
 
-_PROPOSED = "cell string, n long, odd boolean, clean string, read string, written string, done int, left int"
+_PROPOSED = "cell string, n long, copies long, odd boolean, stranger int, clean string, read string, written string, done int, left int"
+
+
+def vocabulary(lines: DataFrame) -> DataFrame:
+    """cell, copies (distinct texts that have it), n (distinct places, the cells before and after it; at most `copies`)."""
+    seq = F.flatten("lines.cells")
+    near = F.arrays_zip(seq.alias("cell"), F.concat(F.array(F.lit("")), seq).alias("before"), F.slice(seq, 2, F.greatest(F.size(seq), F.lit(1))).alias("after"))
+    at = lines.select("copy", F.explode(near).alias("z")).where("z.cell is not null").select("copy", "z.cell", F.xxhash64("z.before", "z.after").alias("place"))
+    x = at.groupBy("cell").agg(F.count_distinct("copy").alias("copies"), F.count_distinct("place").alias("n"))
+    return x.select("cell", "copies", F.least("n", "copies").alias("n"))
+
+
+def _known(words: DataFrame) -> DataFrame:
+    return words.select(F.col("cell").alias("clean"), F.col("n").alias("known"), F.col("copies").alias("known_copies"))
+
+
+def _better() -> Column:
+    """Whether the clean form is the more frequent one."""
+    known, copies = F.coalesce(F.col("known"), F.lit(0)), F.coalesce(F.col("known_copies"), F.lit(0))
+    more = copies > F.col("copies")
+    places = (known > F.col("n")) | ((known == F.col("n")) & more)
+    # many texts that share few places may be variants of one; they don't make the stranger form of a word the clean one
+    return F.when(F.col("written") == "utf-8", more).otherwise(places | (more & (F.col("stranger") >= 0)))
+
+
+def _usual() -> Column:
+    """Whether the clean form of a single-byte text is known and the more usual one, however often the garbled one occurs."""
+    return (F.col("written") != "utf-8") & (F.col("stranger") > 0) & (F.coalesce(F.col("known_copies"), F.lit(0)) > 1)
 
 
 def _propose(learned: list[tuple[str, str]]):
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x in frames:
             out = []
-            for cell, n in x[["cell", "n"]].itertuples(index=False):
-                strange = odd(cell)
-                out += [(cell, n, strange, t, r, w, done, left) for t, r, w, done, left in candidates(cell, learned)]
+            for cell, n, copies in x[["cell", "n", "copies"]].itertuples(index=False):
+                o, s = odd(cell), strange(cell)
+                out += [(cell, n, copies, o, s - strange(t), t, r, w, done, left) for t, r, w, done, left in candidates(cell, learned)]
             if out:
-                yield pd.DataFrame(out, columns=["cell", "n", "odd", "clean", "read", "written", "done", "left"])
+                yield pd.DataFrame(out, columns=["cell", "n", "copies", "odd", "stranger", "clean", "read", "written", "done", "left"])
 
     return run
 
 
 def judge(words: DataFrame, learned: list[tuple[str, str]]) -> DataFrame:
     """cell, clean, read, written, strong: the garbled cells of the vocabulary, one row per cell and transformation."""
-    known = words.select(F.col("cell").alias("clean"), F.col("n").alias("known"))
     # a clean form may have lost all its non-ASCII characters; such words are not in the vocabulary and count as unknown
-    c = words.mapInPandas(_propose(learned), _PROPOSED).join(known, "clean", "left")
+    c = words.mapInPandas(_propose(learned), _PROPOSED).join(_known(words), "clean", "left")
     many = F.col("written") == "utf-8"
-    better = F.coalesce(F.col("known"), F.lit(0)) > F.col("n")
+    better = F.coalesce(_better(), F.lit(False))
     cyrillic = F.col("read").isin("cp1251", "cp866", "iso8859-5", "koi8-r", "mac_cyrillic")
     latin = F.col("cell").rlike("[A-Za-z]")
     whole = many & (F.col("left") == 0)
-    strong = (many & better & (~cyrillic | latin | (F.col("done") > 1))) | (whole & (F.col("done") > 1)) | (~many & better & F.col("odd") & (F.col("known") > 1))
-    weak = whole | better
-    return c.withColumn("strong", strong).where(strong | weak).select("cell", "clean", "read", "written", "strong", F.coalesce("known", F.lit(0)).alias("known"), "left")
+    strong = (many & better & (~cyrillic | latin | (F.col("done") > 1))) | (whole & (F.col("done") > 1)) | (~many & better & F.col("odd") & (F.col("known_copies") > 1))
+    weak = whole | better | _usual()
+    return c.withColumn("strong", strong).where(strong | weak).select("cell", "clean", "read", "written", "strong", F.coalesce("known_copies", F.lit(0)).alias("known"), "left")
 
 
 def garbled(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -243,8 +284,8 @@ def garbled(df: DataFrame, doc_id: str = "doc_id", text: str = "text") -> DataFr
     empty table gives an empty result. Other columns of `df` take no part, whatever their names.
     """
     lines = cells_of(df, doc_id, text).persist()
-    own = lines.select("doc_id", "copy", F.explode(F.array_distinct(F.flatten("lines.cells"))).alias("cell"))
-    words = own.groupBy("cell").agg(F.count_distinct("copy").alias("n")).persist()
+    own = lines.select("doc_id", F.explode(F.array_distinct(F.flatten("lines.cells"))).alias("cell"))
+    words = vocabulary(lines).persist()
     learned = [(r, w) for r, w, _ in learn(lines, words)]
     always = [(r, "utf-8") for r in READ if (r, "utf-8") not in learned]
     verdict = judge(words, learned + always).persist()
