@@ -21,8 +21,9 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-# The masks, 1 for a kept word. Both span 12 words, so any 12 equal words are hit by each of them.
-MASKS = ("110110111011", "101111011011")
+# The masks, 1 for a kept word. Wherever two words of 12 were substituted, one of the masks, moved within the
+# 12, keeps none of the two; so any such run is hit.
+MASKS = ("11011111", "1111100011", "1110011011", "1101011011")
 SPAN = 12
 
 #: Windows of the test items up to which their hashes are broadcast.
@@ -61,8 +62,8 @@ def word_hashes(text: str, cache: _Hashes) -> np.ndarray:
 
 
 def window_hashes(h: np.ndarray, mask: str, salt: int) -> np.ndarray:
-    """Hash of every window of `SPAN` words under the mask."""
-    n = len(h) - SPAN + 1
+    """Hash of every window of the mask's length under the mask."""
+    n = len(h) - len(mask) + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
     out = np.full(n, salt, np.uint64)
@@ -140,8 +141,9 @@ def _scan(items: list[tuple[int, str]], substitutions: int):
                     a, c = best.get(k, (0, 0))
                     best[k] = (max(a, e), max(c, s))
                 for k, (e, s) in best.items():
-                    for col, v in zip(out, (doc, side.ids[k], e, s), strict=True):
-                        col.append(v)
+                    if s >= SPAN:
+                        for col, v in zip(out, (doc, side.ids[k], e, s), strict=True):
+                            col.append(v)
             if out[0]:
                 yield _rows(*out)
 
@@ -168,7 +170,7 @@ def _verify(substitutions: int):
                 side = ItemSide([(item, it)])
                 h = word_hashes(dt, cache)
                 both = [overlap(h, side.seqs[0], d, substitutions) for _, d in side.hits(h)]
-                if both:
+                if both and max(s for _, s in both) >= SPAN:
                     out.append((doc, item, max(e for e, _ in both), max(s for _, s in both)))
             if out:
                 yield pd.DataFrame(out, columns=["doc_id", "item_id", "exact_words", "tolerant_words"])
@@ -178,9 +180,10 @@ def _verify(substitutions: int):
 
 def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", item_text: str = "text", substitutions: int = 2, test_windows: int = TEST_WINDOWS) -> DataFrame:
     """Overlaps of documents with test items: doc_id, item_id, exact_words (longest run of equal words), tolerant_words
-    (longest run with at most `substitutions` differing words inside); one row per pair that a seed hit.
+    (longest run with at most `substitutions` differing words inside); one row per pair with tolerant_words >= 12.
 
-    Runs of 12 equal words are always hit. Null and empty texts, and those of less than 12 words, have no hits. Documents
+    With up to two substitutions, wherever they lie, no such pair is missing; with more, those without a run of 12 words
+    with two may be. Null and empty texts, and those of less than 12 words, have no hits. Documents
     and items with equal texts count each for itself; rows that repeat a doc_id give their rows again. Texts may have any
     length. Other columns take no part. Without items or documents the result is empty.
     """

@@ -75,6 +75,25 @@ def test_substitutions_are_met_by_the_seeds(spark):
     assert (r["exact_words"], r["tolerant_words"]) == (10, 31)
 
 
+@pytest.mark.parametrize("test_windows", [lk.TEST_WINDOWS, 0])
+def test_every_placement_of_two_substitutions_is_found(spark, test_windows):
+    items, docs = [], []
+    for k, (a, b) in enumerate((a, b) for a in range(12) for b in range(a, 12)):
+        w = [f"i{k}x{j}" for j in range(12)]
+        items.append((k, " ".join(w)))
+        w[a] = w[b] = "other"
+        docs.append((k, " ".join(["left"] * 5 + w + ["right"] * 5)))
+    w = [f"long{j}" for j in range(60)]
+    items.append((500, " ".join(w)))
+    docs.append((500, " ".join("other" if j % 6 == 5 else x for j, x in enumerate(w))))
+    three = [f"three{j}" for j in range(12)]
+    items.append((501, " ".join(three)))
+    docs.append((501, " ".join("other" if j in (1, 5, 9) else x for j, x in enumerate(three))))
+    d, t = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
+    got = {(r["doc_id"], r["item_id"]): r["tolerant_words"] for r in lk.leaks(d, t, test_windows=test_windows).collect()}
+    assert got == {(k, k): 12 for k in range(78)} | {(500, 500): 17}
+
+
 def test_words():
     text = "The bi-\n%% nary~\\textbf{Tree}\\label{sec:x} of \\citep[see][p. 3]{knuth1973,other} size\\,5 dis\\-play \\begin{center}a_b\\end{center} semi-\r\n colon re- mark \\ref{fig:y}"
     assert lk.words(text) == ["the", "binary", "tree", "of", "size", "5", "display", "a", "b", "semicolon", "re", "mark"]
