@@ -2,7 +2,9 @@
 
 The triggers map to output modes: 'eachEvent' to update (rows of changed windows; the last per key counts), 'discard' to
 append (a window comes once, when the watermark has passed it; later rows are dropped), 'flush' to complete (all windows
-whenever a batch ends; with an available-now trigger, once at the end).
+whenever a batch ends; with an available-now trigger, once at the end). Only 'discard' needs a watermark and gets one
+where the caller set none, so `emit_on` goes before `aggregate`; with the others a late row joins its window, and all
+windows stay in the state, unless the caller sets a watermark.
 """
 
 from __future__ import annotations
@@ -41,7 +43,7 @@ def stream_windows(p: Pipeline, s: Series, outs: list[Column]) -> Series:
     first = F.min(s._order()).alias("_ord")
     if fixed:
         if "_wm" not in s.df.columns:
-            s = with_watermark(s)
+            s = with_watermark(s) if p.emit == "discard" else s.with_df(s.df.withColumn("_wm", F.timestamp_millis("_t")))
         d = 86_400_000 if p.window_kind == "daily" else tk.need_duration(p.window_duration)
         df = s.df.groupBy(F.window("_wm", f"{d} milliseconds").alias("_w"), group).agg(first, *outs)
         at = F.unix_millis(F.col("_w")["start"])

@@ -106,6 +106,27 @@ def test_windows_by_trigger(spark, folder, tmp_path):
     assert len(set(done)) == len(done) and set(done) <= set(want) and len(done) >= len(want) - 6
 
 
+@pytest.mark.parametrize("emit", ["eachEvent", "flush"])
+@pytest.mark.parametrize("window", ["10m", "daily"])
+def test_late_rows_join_their_windows(spark, tmp_path, emit, window):
+    """Micro-batches from the latest to the earliest rows, a day apart, without a watermark of the caller's."""
+    data = [(k, t + 86_400_000 * (i // 30), i, v) for k, t, i, v in rows()]
+    path = str(tmp_path / "late")
+    for i in reversed(range(4)):
+        spark.createDataFrame(data[i * 30 : (i + 1) * 30], SCHEMA).coalesce(1).write.mode("append").parquet(path)
+    fields = {"n": {"v": r.count()}, "hi": {"v": r.maximum()}, "lo": {"v": r.minimum()}, "avg": {"v": r.avg("ignore")}}
+
+    def windows(s):
+        return Pipeline().from_source(s).window_by(window).group_by("k").emit_on(emit).aggregate(fields)
+
+    whole = Series.from_frame(spark.createDataFrame(data, SCHEMA), time="t", order="id", by=("k",))
+    x = streamed(spark, path, windows, tmp_path, None)
+    assert x.select("_batch").distinct().count() == 4
+    last = x.groupBy("_k", "_group").agg(F.max_by(F.struct("n", "hi", "lo", "avg"), "_batch").alias("v")).select("_k", "_group", "v.*")
+    cols = ("_k", "_group", "n", "hi", "lo", "avg")
+    assert table(last, *cols) == table(windows(whole).series().df, *cols)
+
+
 def test_stream_errors(spark, folder):
     s = read_stream(spark, folder, SCHEMA, time="t", order="id")
     p = Pipeline().from_source(s)
