@@ -15,7 +15,6 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
@@ -162,18 +161,19 @@ def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _verify(substitutions: int):
-    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         cache = _Hashes()
-        for x in frames:
-            out = []
-            for doc, item, dt, it in x[["doc_id", "item_id", "text", "item_text"]].itertuples(index=False):
-                side = ItemSide([(item, it)])
-                h = word_hashes(dt, cache)
+        for b in batches:
+            out: tuple[list, list, list, list] = ([], [], [], [])
+            for doc, item, dt, it in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
+                side = ItemSide([(item, it.as_py() or "")])
+                h = word_hashes(dt.as_py() or "", cache)
                 both = [overlap(h, side.seqs[0], d, substitutions) for _, d in side.hits(h)]
                 if both and max(s for _, s in both) >= SPAN:
-                    out.append((doc, item, max(e for e, _ in both), max(s for _, s in both)))
-            if out:
-                yield pd.DataFrame(out, columns=["doc_id", "item_id", "exact_words", "tolerant_words"])
+                    for col, v in zip(out, (doc, item, max(e for e, _ in both), max(s for _, s in both)), strict=True):
+                        col.append(v)
+            if out[0]:
+                yield _rows(*out)
 
     return run
 
@@ -184,7 +184,7 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: st
 
     With up to two substitutions, wherever they lie, no such pair is missing; with more, those without a run of 12 words
     with two may be. Null and empty texts, and those of less than 12 words, have no hits. Documents
-    and items with equal texts count each for itself; rows that repeat a doc_id give their rows again. Texts may have any
+    and items with equal texts count each for itself; rows that repeat a doc_id give their rows again, and so do those whose id is null. Texts may have any
     length. Other columns take no part. Without items or documents the result is empty.
     """
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
@@ -197,5 +197,5 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: st
     left = d.mapInArrow(_windows, "hash long, id long").withColumnRenamed("id", "doc_id")
     right = t.mapInArrow(_windows, "hash long, id long").withColumnRenamed("id", "item_id")
     pairs = left.join(right, "hash").select("doc_id", "item_id").distinct()
-    full = pairs.join(d, "doc_id").join(t, "item_id")
-    return full.select("doc_id", "item_id", "text", "item_text").mapInPandas(_verify(substitutions), _LEAKS)
+    full = pairs.join(d, pairs["doc_id"].eqNullSafe(d["doc_id"])).join(t, pairs["item_id"].eqNullSafe(t["item_id"]))
+    return full.select(pairs["doc_id"], pairs["item_id"], "text", "item_text").mapInArrow(_verify(substitutions), _LEAKS)

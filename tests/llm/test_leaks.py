@@ -94,6 +94,16 @@ def test_every_placement_of_two_substitutions_is_found(spark, test_windows):
     assert got == {(k, k): 12 for k in range(78)} | {(500, 500): 17}
 
 
+@pytest.mark.parametrize("test_windows", [lk.TEST_WINDOWS, 0])
+def test_rows_without_an_id_count(spark, test_windows):
+    a, b = " ".join(f"a{j}" for j in range(20)), " ".join(f"b{j}" for j in range(20))
+    big = 2**60 + 1  # not a whole float
+    d = spark.createDataFrame([(None, a), (None, b), (big, a), (None, None)], "doc_id long, text string")
+    t = spark.createDataFrame([(None, a), (big, b), (None, None)], "item_id long, text string")
+    got = sorted((tuple(r) for r in lk.leaks(d, t, test_windows=test_windows).collect()), key=str)
+    assert got == sorted([(None, None, 20, 20), (None, big, 20, 20), (big, None, 20, 20)], key=str)
+
+
 def test_words():
     text = "The bi-\n%% nary~\\textbf{Tree}\\label{sec:x} of \\citep[see][p. 3]{knuth1973,other} size\\,5 dis\\-play \\begin{center}a_b\\end{center} semi-\r\n colon re- mark \\ref{fig:y}"
     assert lk.words(text) == ["the", "binary", "tree", "of", "size", "5", "display", "a", "b", "semicolon", "re", "mark"]
