@@ -6,8 +6,10 @@ lasting change of level becomes the new level. Run-length counters over equal va
 impossible ones. What the chart marks in either direction of time is then checked exactly: the distance from the median
 of the readings around it, against the source's scatter (the distance within which half of its readings lie).
 
-Sources of any length are cut into time chunks of about `chunk_rows` readings. A chunk also receives at least `HALO`
-readings before and after it, which settle the chart and the windows, so a hot source is no task of its own.
+A source is charted in segments of `SEGMENT` readings, by place in the source; a segment also sees `HALO` places before and
+after it, which settle the chart and the windows. What a segment gives depends on its readings alone. So sources of more
+than `chunk_rows` readings can be cut into chunks, each a task's work with the places around it, and get the flags
+that they would get in one piece; scatter and idleness of such sources are counted exactly over all chunks.
 """
 
 from __future__ import annotations
@@ -21,13 +23,17 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from chronoweave.operators.cells import DAY_MS
+from chronoweave.operators.percentiles import values_at_ranks
 from chronoweave.plans.scale import sized_broadcast, whole_groups
 
-#: Readings that a chunk sees beyond its own on either side, repeats of one reading not counted twice.
-HALO = 128
+#: Places of a source that are charted together, and those that a segment sees beyond its own on either side.
+SEGMENT, HALO = 1024, 256
 
-#: Residuals are counted in bins of this relative width; so exact is the scatter of a source of several chunks.
-BIN = 1.001
+#: Readings of a source above which it is cut into chunks of about so many.
+CHUNK_ROWS = 100_000
+
+#: Time units of at most this part of a chunk are handed out whole; larger ones are counted in the next finer unit.
+UNIT_SHARE = 16
 
 
 @dataclass(frozen=True)
@@ -43,33 +49,38 @@ class SpikeRules:
     limit: float = 3.0
 
 
-def control_chart(x: list[float], rules: SpikeRules, centre: float, scale: float) -> list[bool]:
-    """Whether each reading lies outside the limits of the chart so far."""
-    lam, lim, most = rules.weight, rules.limit, rules.spike_run
-    keep = 1.0 - lam
-    run = 0
-    out = []
-    floor = scale * 0.05
-    for v in x:
-        e = v - centre
-        top = lim * scale
-        if -top <= e <= top:
-            out.append(False)
-            run = 0
-            centre += lam * e
-            scale = keep * scale + lam * 1.25 * (e if e >= 0 else -e)
-        else:
-            out.append(True)
-            run += 1
-            if run > most:
-                centre, run = v, 0
-            else:
-                clipped = top if e > 0 else -top
-                centre += lam * clipped * 0.25
-                scale = keep * scale + lam * 1.25 * top
-        if scale < floor:
-            scale = floor
-    return out
+def control_charts(lanes: list[np.ndarray], centre: np.ndarray, scale: np.ndarray, rules: SpikeRules) -> list[np.ndarray]:
+    """Whether each reading of each lane lies outside the limits of the lane's chart so far; all lanes run side by side."""
+    if not lanes:
+        return []
+    sizes = np.array([len(x) for x in lanes])
+    order = np.argsort(-sizes, kind="stable")
+    longest = int(sizes.max())
+    grid = np.zeros((longest, len(lanes)))
+    for at, k in enumerate(order):
+        grid[: sizes[k], at] = lanes[k]
+    # lanes still running at each step: those at the front, as they are sorted by length
+    running = np.searchsorted(-sizes[order], -np.arange(longest), side="left").tolist()
+    marks = np.zeros(grid.shape, bool)
+    mid, wide = np.array(centre, float)[order], np.array(scale, float)[order]
+    least, run = wide * 0.05, np.zeros(len(lanes), np.int64)
+    lam, keep = rules.weight, 1.0 - rules.weight
+    for i, n in enumerate(running):
+        v, c, s, r = grid[i, :n], mid[:n], wide[:n], run[:n]
+        e, top = v - c, rules.limit * s
+        size = np.abs(e)
+        out = ~(size <= top)
+        r = np.where(out, r + 1, 0)
+        anew = r > rules.spike_run
+        moved = c + lam * np.where(out, np.where(e > 0, top, -top) * 0.25, e)
+        mid[:n] = np.where(anew, v, moved)
+        wide[:n] = np.maximum(np.where(anew, s, keep * s + lam * 1.25 * np.where(out, top, size)), least[:n])
+        run[:n] = np.where(anew, 0, r)
+        marks[i, :n] = out
+    found: list[np.ndarray] = [np.zeros(0, bool)] * len(lanes)
+    for at, k in enumerate(order):
+        found[k] = marks[: sizes[k], at]
+    return found
 
 
 def around(x: np.ndarray, half: int) -> np.ndarray:
@@ -82,43 +93,51 @@ def around(x: np.ndarray, half: int) -> np.ndarray:
     return np.median(np.lib.stride_tricks.sliding_window_view(wide, 2 * h + 1), axis=1)
 
 
-def chart_one(value: np.ndarray, limit: float, rules: SpikeRules) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """Of one ordered stretch: impossible, stuck, distance from the level around (NaN for the former two), suspect."""
-    n = len(value)
-    impossible = (value < 0) | (value > limit)
-    turn = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
-    length = np.diff(np.r_[turn, n])
-    stuck = np.repeat(length >= rules.stuck_run, length) & ~impossible
-    rest = np.flatnonzero(~impossible & ~stuck)
-    away, suspect = np.full(n, np.nan), np.zeros(n, bool)
-    if len(rest):
-        x = value[rest]
-        away[rest] = x - around(x, rules.half_window)
-        first = x[:25]
-        scale = 1.4826 * float(np.median(np.abs(x - np.median(first)))) or float(np.mean(np.abs(away[rest]))) or 1e-12
-        local = 1.4826 * float(np.median(np.abs(away[rest])))
-        start = min(scale, 2 * local) if local > 0 else scale
-        there = control_chart(x.tolist(), rules, float(np.median(first)), start)
-        back = control_chart(x[::-1].tolist(), rules, float(np.median(x[-25:])), start)
-        suspect[rest] = np.array(there) | np.array(back)[::-1]
-    return impossible, stuck, away, suspect
-
+@dataclass
+class Charted:
+    """What is known of some readings of a source, in order: impossible, stuck, distance from the level around (NaN for the
+    former two), marked by the chart in either direction, marked in both."""
+
+    impossible: np.ndarray
+    stuck: np.ndarray
+    away: np.ndarray
+    either: np.ndarray
+    both: np.ndarray
+
+
+def chart_stretches(stretches: list[np.ndarray], limits: list[float], rules: SpikeRules) -> list[Charted]:
+    """Charts of ordered stretches of readings, each on its own."""
+    out, lanes, centres, scales, owners = [], [], [], [], []
+    for value, limit in zip(stretches, limits, strict=True):
+        n = len(value)
+        impossible = (value < 0) | (value > limit)
+        turn = np.flatnonzero(np.r_[True, value[1:] != value[:-1]])
+        length = np.diff(np.r_[turn, n])
+        stuck = np.repeat(length >= rules.stuck_run, length) & ~impossible
+        rest = np.flatnonzero(~impossible & ~stuck)
+        c = Charted(impossible, stuck, np.full(n, np.nan), np.zeros(n, bool), np.zeros(n, bool))
+        out.append(c)
+        if len(rest):
+            x = value[rest]
+            c.away[rest] = x - around(x, rules.half_window)
+            first = x[:25]
+            scale = 1.4826 * float(np.median(np.abs(x - np.median(first)))) or float(np.mean(np.abs(c.away[rest]))) or 1e-12
+            local = 1.4826 * float(np.median(np.abs(c.away[rest])))
+            start = min(scale, 2 * local) if local > 0 else scale
+            lanes += [x, x[::-1]]
+            centres += [float(np.median(first)), float(np.median(x[-25:]))]
+            scales += [start, start]
+            owners.append((c, rest))
+    marks = control_charts(lanes, np.array(centres), np.array(scales), rules)
+    for (c, rest), there, back in zip(owners, marks[::2], marks[1::2], strict=True):
+        c.either[rest], c.both[rest] = there | back[::-1], there & back[::-1]
+    return out
 
-_FLAGS = "name string, reading_id long, ms long, flaw string, distance double, scatter double"
 
-#: What a chunk of a long source gives. part 0: residuals by bin; part 1: counts of repeated values and, with value NaN, of all
-#: readings; part 2: flagged or suspect readings with their neighbours, in the order of the chunk.
-_PARTS = "name string, chunk long, part int, bin long, n long, value double, reading_id long, ms long, away double, flag int"
-ZERO = -(10**9)
 IMPOSSIBLE, STUCK, OWN, NEIGHBOUR = 1, 2, 3, 4
 WORDS = np.array(["", "impossible", "stuck", "spike"], object)
 
 
-def _bins(r: np.ndarray) -> np.ndarray:
-    """Bin of each residual; zero has its own."""
-    return np.where(r > 0, np.round(np.log(np.maximum(r, 1e-300)) / np.log(BIN)), ZERO).astype(np.int64)
-
-
 def _beside(mark: np.ndarray, reach: int) -> np.ndarray:
     """The marks and what lies up to `reach` places beside one."""
     out = mark.copy()
@@ -143,17 +162,41 @@ def find_spikes(order: np.ndarray, away: np.ndarray, scatter: float, rules: Spik
     return out & np.repeat(size <= rules.spike_run, size) & (np.abs(away) > rules.spike_scatters * scatter)
 
 
-def judge_whole(value: np.ndarray, top: float, rules: SpikeRules) -> tuple[np.ndarray, np.ndarray, float]:
-    """Flaws (as numbers), distances and the scatter of a source that is seen as a whole."""
-    impossible, stuck, away, suspect = chart_one(value, top, rules)
-    pos = np.flatnonzero(~np.isnan(away))
-    scatter = float(np.median(np.abs(away[pos]))) if len(pos) else 0.0
-    flaw = np.where(impossible, IMPOSSIBLE, 0)
-    if len(value) and np.unique(value, return_counts=True)[1].max() * 2 <= len(value):
-        flaw[stuck] = STUCK
-        near = np.flatnonzero(_beside(suspect[pos], rules.spike_run + 1))
-        flaw[pos[near[find_spikes(near, away[pos[near]], scatter, rules)]]] = OWN
-    return flaw, away, scatter
+def short_runs(mark: np.ndarray, most: int) -> np.ndarray:
+    """The marks in runs of at most `most`."""
+    n = np.diff(np.r_[np.flatnonzero(np.r_[True, mark[1:] != mark[:-1]]), len(mark)])
+    return mark & np.repeat(n <= most, n)
+
+
+class Segment:
+    """The own readings of a segment and what the readings beyond add: `take` are the row numbers of the stretch, `own` which
+    of them belong to the segment, `shown` which of them are suspect or beside a suspect one, `rank` their place among the
+    readings that are neither impossible nor stuck."""
+
+    def __init__(self, take: np.ndarray, own: np.ndarray, c: Charted, rules: SpikeRules) -> None:
+        self.take, self.own, self.chart = take, own, c
+        pos = np.flatnonzero(~np.isnan(c.away))
+        self.rank = np.full(len(take), -1, np.int64)
+        self.rank[pos] = np.arange(len(pos))
+        self.shown = np.zeros(len(take), bool)
+        # neighbours tell whether the level returns
+        self.shown[pos[_beside(c.either[pos], rules.spike_run + 1)]] = True
+        self.lone = np.zeros(len(take), bool)
+        self.lone[pos] = short_runs(c.both[pos], rules.spike_run)
+
+
+def segments(place: np.ndarray, fresh: np.ndarray, mine: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The rows of every segment with rows of `mine`, halo included, and which of them belong to it. `place` are consecutive
+    places in the source; rows that are not `fresh` repeat the one before and take a place, but are no readings."""
+    if not mine.any():
+        return
+    held = np.flatnonzero(mine)
+    for k in range(int(place[held[0]]) // SEGMENT, int(place[held[-1]]) // SEGMENT + 1):
+        lo, hi = np.searchsorted(place, [k * SEGMENT - HALO, (k + 1) * SEGMENT + HALO])
+        take = lo + np.flatnonzero(fresh[lo:hi])
+        own = (place[take] // SEGMENT == k) & mine[take]
+        if own.any():
+            yield take, own
 
 
 def _stretches(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, np.ndarray, list[int], np.ndarray]]:
@@ -165,20 +208,49 @@ def _stretches(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame,
         yield x, fresh, np.r_[0, np.flatnonzero(~same) + 1, len(x)].tolist(), null
 
 
-def _flag_whole(rules: SpikeRules):
+def _charted(x: pd.DataFrame, fresh: np.ndarray, edges: list[int], chunk_rows: int | None, rules: SpikeRules) -> Iterator[tuple[int, list[Segment]]]:
+    """(first row, segments) of every source or chunk of a frame; all stretches of the frame are charted at once."""
+    value, chunk, before = x["value"].to_numpy(), x["chunk"].to_numpy(), x["before"].to_numpy()
+    limit = x["limit"].to_numpy(dtype=float, na_value=np.nan)
+    found: list[tuple[int, np.ndarray, np.ndarray]] = []
+    for i, j in zip(edges[:-1], edges[1:], strict=True):
+        place = before[i] + np.arange(j - i)
+        mine = np.ones(j - i, bool) if chunk_rows is None else place // chunk_rows == chunk[i]
+        found += [(i, i + take, own) for take, own in segments(place, fresh[i:j], mine)]
+    tops = [np.inf if np.isnan(limit[i]) else limit[i] for i, _, _ in found]
+    charts = chart_stretches([value[take] for _, take, _ in found], tops, rules)
+    at = 0
+    for i in edges[:-1]:
+        these = []
+        while at < len(found) and found[at][0] == i:
+            these.append(Segment(found[at][1], found[at][2], charts[at], rules))
+            at += 1
+        yield i, these
+
+
+_FLAGS = "name string, reading_id long, ms long, flaw string, distance double, scatter double"
+
+
+def _flag_whole(rules: SpikeRules, by_chart: bool):
     """The flags of sources of one chunk."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x, fresh, edges, null in _stretches(batches):
             name, ids, ms, value = (x[c].to_numpy() for c in ("name", "reading_id", "ms", "value"))
-            limit = x["limit"].to_numpy(dtype=float, na_value=np.inf)
             out = []
-            for i, j in zip(edges[:-1], edges[1:], strict=True):
-                use = i + np.flatnonzero(fresh[i:j])
-                flaw, away, scatter = judge_whole(value[use], np.inf if np.isnan(limit[i]) else limit[i], rules)
-                at = np.flatnonzero(flaw)
-                if len(at):
-                    out.append((None if null[i] else name[i], scatter, flaw[at], away[at], use[at]))
+            for i, these in _charted(x, fresh, edges, None, rules):
+                if not these:
+                    continue
+                away = np.concatenate([s.chart.away[s.own] for s in these])
+                mine = np.concatenate([value[s.take[s.own]] for s in these])
+                counted = np.abs(away[~np.isnan(away)])
+                scatter = float(np.median(counted)) if len(counted) else 0.0
+                idle = np.unique(mine, return_counts=True)[1].max() * 2 > len(mine)
+                for s in these:
+                    flaw = judge(s, scatter, idle, rules, by_chart)
+                    at = np.flatnonzero(flaw)
+                    if len(at):
+                        out.append((None if null[i] else name[i], scatter, flaw[at], s.chart.away[at], s.take[at]))
             if out:
                 sizes = [len(o[4]) for o in out]
                 at = np.concatenate([o[4] for o in out])
@@ -187,68 +259,72 @@ def _flag_whole(rules: SpikeRules):
     return run
 
 
-def _chart_parts(rules: SpikeRules):
-    """The parts of every chunk of a long source."""
-
-    def parts(value: np.ndarray, ids: np.ndarray, ms: np.ndarray, own: np.ndarray, top: float) -> Iterator[dict]:
-        impossible, stuck, away, suspect = chart_one(value, top, rules)
-        counted = ~np.isnan(away)
-        b, c = np.unique(_bins(np.abs(away[own & counted])), return_counts=True)
-        yield {"part": 0, "bin": b, "n": c}
-        v, c = np.unique(value[own], return_counts=True)
-        yield {"part": 1, "n": np.r_[c[c > 1], own.sum()], "value": np.r_[v[c > 1], np.nan]}
-        pos = np.flatnonzero(counted)
-        rank = np.full(len(value), -1, np.int64)
-        rank[pos] = np.arange(len(pos))
-        show = (impossible | stuck) & own
-        show[pos[_beside(suspect[pos], rules.spike_run + 1)]] = True  # neighbours tell whether the level returns
-        flag = np.where(impossible, IMPOSSIBLE, np.where(stuck, STUCK, np.where(own, OWN, NEIGHBOUR)))
-        at = np.flatnonzero(show)
-        yield {"part": 2, "n": rank[at], "reading_id": ids[at], "ms": ms[at], "away": away[at], "flag": flag[at]}
+def judge(s: Segment, scatter: float, idle: bool, rules: SpikeRules, by_chart: bool) -> np.ndarray:
+    """The flaws, as numbers, of a segment's own readings."""
+    c = s.chart
+    flaw = np.where(c.impossible, IMPOSSIBLE, 0)
+    if not idle:
+        flaw[c.stuck] = STUCK
+        if by_chart:
+            flaw[s.lone] = OWN
+        else:
+            at = np.flatnonzero(s.shown)
+            flaw[at[find_spikes(s.rank[at], c.away[at], scatter, rules)]] = OWN
+    return np.where(s.own, flaw, 0)
+
+
+#: A long source's readings. seg: segment, -1 for readings that only their source's scatter and idleness need; rank, flag: see
+#: `Segment` and the numbers above; value, away: of own readings, for the source's counts.
+_PARTS = "name string, chunk long, seg long, rank long, reading_id long, ms long, value double, away double, flag int, lone boolean"
+
+
+def _chart_parts(rules: SpikeRules, chunk_rows: int):
+    """The readings of every chunk of a long source with what the chart says of them."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for x, fresh, edges, null in _stretches(batches):
-            name, ids, ms, value, own, chunk = (x[c].to_numpy() for c in ("name", "reading_id", "ms", "value", "own", "chunk"))
-            limit = x["limit"].to_numpy(dtype=float, na_value=np.inf)
-            for i, j in zip(edges[:-1], edges[1:], strict=True):
-                use = i + np.flatnonzero(fresh[i:j])
-                for p in parts(value[use], ids[use], ms[use], own[use], np.inf if np.isnan(limit[i]) else limit[i]):
-                    n = len(p["n"])
-                    frame = {"name": np.full(n, None if null[i] else name[i], object), "chunk": np.full(n, chunk[i]), "part": np.full(n, p["part"], np.int32)}
-                    for c, kind, default in (("bin", np.int64, 0), ("n", np.int64, 0), ("value", float, np.nan), ("reading_id", np.int64, 0), ("ms", np.int64, 0), ("away", float, np.nan), ("flag", np.int32, 0)):
-                        frame[c] = np.asarray(p[c], kind) if c in p else np.full(n, default, kind)
-                    if n:
-                        yield pd.DataFrame(frame)
+            name, ids, ms, value, before = (x[c].to_numpy() for c in ("name", "reading_id", "ms", "value", "before"))
+            for i, these in _charted(x, fresh, edges, chunk_rows, rules):
+                for s in these:
+                    c = s.chart
+                    flag = np.where(c.impossible, IMPOSSIBLE, np.where(c.stuck, STUCK, OWN))
+                    flag = np.where(s.own, flag, NEIGHBOUR)
+                    show = s.shown | ((flag < OWN) & s.own) | s.lone
+                    at = np.flatnonzero(show | s.own)
+                    take = s.take[at]
+                    seg = (before[i] + s.take[s.own][0] - i) // SEGMENT
+                    yield pd.DataFrame({"name": np.full(len(at), None if null[i] else name[i], object), "chunk": np.full(len(at), x["chunk"].iloc[i]), "seg": np.where(show[at], seg, -1), "rank": s.rank[at], "reading_id": ids[take], "ms": ms[take], "value": value[take], "away": c.away[at], "flag": flag[at].astype(np.int32), "lone": s.lone[at]})
 
     return run
 
 
 def _source_stats(parts: DataFrame) -> DataFrame:
-    """s_name, scatter, idle of the long sources; bins and repeated values are summed before they meet."""
-    bins = parts.where("part = 0").groupBy("name", "bin").agg(F.sum("n").alias("n"))
-    w = Window.partitionBy("name")
-    half = bins.withColumn("upto", F.sum("n").over(w.orderBy("bin"))).withColumn("all", F.sum("n").over(w)).where(F.col("upto") * 2 >= F.col("all"))
-    mid = half.groupBy("name").agg(F.min("bin").alias("bin"))
-    scatter = mid.select(F.col("name").alias("b_name"), F.when(F.col("bin") == ZERO, F.lit(0.0)).otherwise(F.pow(F.lit(BIN), F.col("bin").cast("double"))).alias("scatter"))
-    values = parts.where("part = 1").groupBy("name", "value").agg(F.sum("n").alias("n"))
-    most = values.groupBy(F.col("name").alias("s_name")).agg(F.max(F.when(~F.isnan("value"), F.col("n"))).alias("most"), F.max(F.when(F.isnan("value"), F.col("n"))).alias("rows"))
-    return most.join(scatter, F.col("s_name").eqNullSafe(F.col("b_name")), "left").select("s_name", F.coalesce("scatter", F.lit(0.0)).alias("scatter"), F.coalesce(F.col("most") * 2 > F.col("rows"), F.lit(False)).alias("idle"))
+    """s_name, scatter, idle of the long sources, exactly: the median of the distances, and whether the median value, which a
+    value of more than half of the readings must be, is one."""
+    own = parts.where(F.col("flag") < NEIGHBOUR)
+    half = {"lo": lambda n: F.call_function("div", n + 1, F.lit(2).cast("long")), "hi": lambda n: F.call_function("div", n, F.lit(2).cast("long")) + 1}
+    mid = values_at_ranks(own.select("name", F.abs("away").alias("r")), "name", "r", half).select(F.col("name").alias("b_name"), ((F.col("lo") + F.col("hi")) / 2).alias("scatter"))
+    most = values_at_ranks(own.select("name", "value"), "name", "value", {"lo": half["lo"]}).select(F.col("name").alias("m_name"), F.col("lo").alias("top"))
+    n = own.join(sized_broadcast(most), F.col("name").eqNullSafe(F.col("m_name"))).groupBy(F.col("name").alias("s_name")).agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("value") == F.col("top")).alias("same"))
+    return n.join(mid, F.col("s_name").eqNullSafe(F.col("b_name")), "left").select("s_name", F.coalesce("scatter", F.lit(0.0)).alias("scatter"), (F.col("same") * 2 > F.col("n")).alias("idle"))
 
 
-def _judge_parts(rules: SpikeRules):
-    """The flags of the chunks of long sources, with what is known of their source."""
+def _judge_parts(rules: SpikeRules, by_chart: bool):
+    """The flags of the segments of long sources, with what is known of their source."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for x in whole_groups(batches, ["name", "chunk"], 50_000):
-            null, name, chunk = x["name"].isna().to_numpy(), x["name"].to_numpy(), x["chunk"].to_numpy()
-            same = (chunk[1:] == chunk[:-1]) & ((name[1:] == name[:-1]) | (null[1:] & null[:-1]))
-            flag, n, away, scatter, idle = (x[c].to_numpy() for c in ("flag", "n", "away", "scatter", "idle"))
+        for x in whole_groups(batches, ["name", "chunk", "seg"], 50_000):
+            null, name, chunk, seg = x["name"].isna().to_numpy(), x["name"].to_numpy(), x["chunk"].to_numpy(), x["seg"].to_numpy()
+            same = (seg[1:] == seg[:-1]) & (chunk[1:] == chunk[:-1]) & ((name[1:] == name[:-1]) | (null[1:] & null[:-1]))
+            flag, rank, away, scatter, idle, lone = (x[c].to_numpy() for c in ("flag", "rank", "away", "scatter", "idle", "lone"))
             flaw = np.where(flag == IMPOSSIBLE, IMPOSSIBLE, np.where((flag == STUCK) & ~idle, STUCK, 0))
+            if by_chart:
+                flaw[(flag == OWN) & lone & ~idle] = OWN
             edges = np.r_[0, np.flatnonzero(~same) + 1, len(x)].tolist()
             for i, j in zip(edges[:-1], edges[1:], strict=True):
-                seq = i + np.flatnonzero(flag[i:j] >= OWN)
-                if len(seq) and not idle[i]:
-                    hit = find_spikes(n[seq], away[seq], float(scatter[i]), rules) & (flag[seq] == OWN)
+                seq = i + np.flatnonzero(rank[i:j] >= 0)
+                if len(seq) and not idle[i] and not by_chart:
+                    hit = find_spikes(rank[seq], away[seq], float(scatter[i]), rules) & (flag[seq] == OWN)
                     flaw[seq[hit]] = OWN
             at = np.flatnonzero(flaw)
             if len(at):
@@ -258,46 +334,74 @@ def _judge_parts(rules: SpikeRules):
     return run
 
 
-def _chunks(days: DataFrame, chunk_rows: int, halo: int) -> DataFrame:
-    """(name, day) -> chunks that read it, for sources of more than `chunk_rows` readings; own: whether it is the chunk's day."""
-    w = Window.partitionBy("name")
-    total = F.sum("n").over(w)
-    before = F.sum("n").over(w.orderBy("day")) - F.col("n")
-    hot = days.withColumn("total", total).where(F.col("total") > chunk_rows).withColumn("before", before).withColumn("chunk", F.floor(F.col("before") / chunk_rows))
-    wc = Window.partitionBy("name", "chunk")
-    hot = hot.withColumn("lo", F.min("before").over(wc)).withColumn("hi", F.max(F.col("before") + F.col("n")).over(wc)).persist()
-    chunks = hot.select(F.col("name").alias("c_name"), F.col("chunk").alias("c"), F.col("lo").alias("c_lo"), F.col("hi").alias("c_hi")).distinct()
-    near = (F.col("before") < F.col("c_hi") + halo) & (F.col("before") + F.col("n") > F.col("c_lo") - halo)
-    return hot.join(chunks, F.col("name").eqNullSafe(F.col("c_name")) & near).select(F.col("name").alias("h_name"), F.col("day").alias("h_day"), F.col("c").alias("h_chunk"), (F.col("c") == F.col("chunk")).alias("h_own"))
-
+def _units(good: DataFrame, chunk_rows: int, bucket_ms: int) -> tuple[DataFrame, DataFrame] | None:
+    """Of the sources of more than `chunk_rows` rows: the rows, each with `start`, the begin of its time unit, and (h_name, h_start,
+    chunk, before): the chunks that need a unit, and the number of rows before it. None without such sources.
 
-def flag_readings(df: DataFrame, reading_id: Column, name: Column, ms: Column, value: Column, limit: Column, missing: Column, rules: SpikeRules | None = None, chunk_rows: int = 100_000, bucket_ms: int = DAY_MS) -> DataFrame:
+    Units are buckets of `bucket_ms`; where one holds more than a part of a chunk it is counted by seconds, and such seconds by
+    milliseconds. Every row counts, so a place in the source is the same for all who count.
+    """
+    day = F.floor(F.col("ms") / F.lit(bucket_ms)) * F.lit(bucket_ms)
+    most = max(1, chunk_rows // UNIT_SHARE)
+    days = good.groupBy("name", day.alias("start")).agg(F.count(F.lit(1)).alias("n"))
+    total = F.sum("n").over(Window.partitionBy("name"))
+    hot = days.withColumn("total", total).where(F.col("total") > chunk_rows).select("name", "start", "n").persist()
+    if hot.isEmpty():
+        hot.unpersist()
+        return None
+    names = hot.select(F.col("name").alias("h_name")).distinct()
+    rows = good.join(sized_broadcast(names), F.col("name").eqNullSafe(F.col("h_name"))).drop("h_name").withColumn("start", day).withColumn("day", day)
+    # a unit keeps the bucket that it lies in, so that running counts are taken per bucket first
+    units = hot.withColumn("day", F.col("start"))
+    for length in (1_000, 1):
+        heavy = units.where(F.col("n") > most).select(F.col("name").alias("x_name"), F.col("start").alias("x_start"))
+        if heavy.isEmpty():
+            break
+        on = F.col("name").eqNullSafe(F.col("x_name")) & (F.col("start") == F.col("x_start"))
+        rows = rows.join(sized_broadcast(heavy), on, "left").withColumn("start", F.when(F.col("x_start").isNotNull(), F.floor(F.col("ms") / F.lit(length)) * F.lit(length)).otherwise(F.col("start"))).withColumn("split", F.col("x_start").isNotNull()).drop("x_name", "x_start")
+        finer = rows.where("split").groupBy("name", "day", "start").agg(F.count(F.lit(1)).alias("n"))
+        rows = rows.drop("split")
+        units = units.join(heavy, on, "left_anti").unionByName(finer.select("name", "start", "n", "day"))
+    units = units.persist()
+    within = Window.partitionBy("name", "day").orderBy("start")
+    per = units.groupBy("name", "day").agg(F.sum("n").alias("all"))
+    offset = per.withColumn("offset", F.sum("all").over(Window.partitionBy("name").orderBy("day")) - F.col("all")).withColumn("total", F.sum("all").over(Window.partitionBy("name")))
+    offset = offset.select(F.col("name").alias("o_name"), F.col("day").alias("o_day"), "offset", "total")
+    placed = units.withColumn("inner", F.sum("n").over(within) - F.col("n")).join(offset, F.col("name").eqNullSafe(F.col("o_name")) & (F.col("day") == F.col("o_day")))
+    before = F.col("offset") + F.col("inner")
+    reach = SEGMENT + HALO
+    first = F.floor(F.greatest(before - reach, F.lit(0)) / chunk_rows)
+    last = F.least(F.floor((before + F.col("n") - 1 + reach) / chunk_rows), F.floor((F.col("total") - 1) / chunk_rows))
+    return rows.drop("day"), placed.select(F.col("name").alias("h_name"), F.col("start").alias("h_start"), F.explode(F.sequence(first, last)).alias("chunk"), before.alias("before"))
+
+
+def flag_readings(df: DataFrame, reading_id: Column, name: Column, ms: Column, value: Column, limit: Column, missing: Column, rules: SpikeRules | None = None, chunk_rows: int = CHUNK_ROWS, bucket_ms: int = DAY_MS, by_chart: bool = False) -> DataFrame:
     """Flags of the readings of `df`: name, reading_id, ms, flaw ('impossible', 'stuck' or 'spike'), distance, scatter.
 
     Only flagged readings have a row. Readings that are `missing` or have no time are left out first; repeats of one
     (reading_id, time) count once; ties in time are ordered by id. `limit` is the source's physical maximum (null: none);
     below zero is impossible. A source in which one value makes up more than half of the readings is idle: neither stuck
     nor spiking. A source whose scatter is zero has no spikes. A null name is a source of its own. An empty table gives an
-    empty result. The scatter of a source of several chunks is exact to 0.1 %.
+    empty result. `chunk_rows` and `bucket_ms` change how the work is cut, never the result; only readings of one source in one
+    millisecond are not split. `by_chart`: spikes are what the chart itself marks in both directions of time, in runs of
+    at most `spike_run`, without the exact check.
     """
     rules = rules or SpikeRules()
     good = df.where(~missing).select(reading_id.alias("reading_id"), name.alias("name"), ms.alias("ms"), value.alias("value"), limit.cast("double").alias("limit")).where("ms is not null")
-    day = F.floor(F.col("ms") / F.lit(bucket_ms))
-    # repeated deliveries are counted too, so twice the halo is asked for
-    days = good.groupBy("name", day.alias("day")).agg(F.count(F.lit(1)).alias("n"))
-    hot = sized_broadcast(_chunks(days, chunk_rows, 2 * HALO))
-    own_day = F.col("name").eqNullSafe(F.col("h_name")) & (F.col("day") == F.col("h_day"))
-    keyed = good.withColumn("day", day)
-    none = hot.isEmpty()
-    short = keyed if none else keyed.join(hot, own_day, "left_anti")
-    short = short.select("reading_id", "name", "ms", "value", "limit", F.lit(0).cast("long").alias("chunk"))
-    flags = short.repartition("name").sortWithinPartitions("name", "ms", "reading_id").mapInPandas(_flag_whole(rules), _FLAGS)
-    if none:
+    cut = _units(good, chunk_rows, bucket_ms)
+    short = good
+    if cut is not None:
+        rows, chunks = cut
+        names = sized_broadcast(chunks.select("h_name").distinct())
+        short = good.join(names, F.col("name").eqNullSafe(F.col("h_name")), "left_anti")
+    short = short.select("reading_id", "name", "ms", "value", "limit", F.lit(0).cast("long").alias("chunk"), F.lit(0).cast("long").alias("before"))
+    flags = short.repartition("name").sortWithinPartitions("name", "ms", "reading_id").mapInPandas(_flag_whole(rules, by_chart), _FLAGS)
+    if cut is None:
         return flags
-    long = keyed.join(hot, own_day).select("reading_id", "name", "ms", "value", "limit", F.col("h_chunk").alias("chunk"), F.col("h_own").alias("own"))
-    parts = long.repartition("name", "chunk").sortWithinPartitions("name", "chunk", "ms", "reading_id").mapInPandas(_chart_parts(rules), _PARTS).persist()
+    long = rows.join(sized_broadcast(chunks), F.col("name").eqNullSafe(F.col("h_name")) & (F.col("start") == F.col("h_start"))).select("reading_id", "name", "ms", "value", "limit", "chunk", "before")
+    parts = long.repartition("name", "chunk").sortWithinPartitions("name", "chunk", "ms", "reading_id").mapInPandas(_chart_parts(rules, chunk_rows), _PARTS).persist()
     stats = sized_broadcast(_source_stats(parts))
-    marked = parts.where("part = 2").join(stats, F.col("name").eqNullSafe(F.col("s_name"))).select("name", "chunk", "n", "reading_id", "ms", "away", "flag", "scatter", "idle")
-    # a chunk's impossible and stuck readings have no place in its order (n = -1) and come first
-    more = marked.repartition("name", "chunk").sortWithinPartitions("name", "chunk", "n").mapInPandas(_judge_parts(rules), _FLAGS)
+    marked = parts.where("seg >= 0").join(stats, F.col("name").eqNullSafe(F.col("s_name"))).select("name", "chunk", "seg", "rank", "reading_id", "ms", "away", "flag", "lone", "scatter", "idle")
+    # a segment's impossible and stuck readings have no place in its order (rank -1) and come first
+    more = marked.repartition("name", "chunk", "seg").sortWithinPartitions("name", "chunk", "seg", "rank").mapInPandas(_judge_parts(rules, by_chart), _FLAGS)
     return flags.unionByName(more)

@@ -99,11 +99,20 @@ def p3_found(spark: SparkSession, folder: str) -> DataFrame:
     return regular(spark, folder).where("n = 0 and mark in ('filled', 'missing')").select(F.col("source").alias("name"), "slot_ms")
 
 
-def p4_flags(spark: SparkSession, folder: str) -> DataFrame:
-    """Flagged readings with their distance from the level and the source's scatter."""
+def flagged(spark: SparkSession, folder: str, by_chart: bool = False) -> DataFrame:
     kinds = table(spark, folder, "interface_kinds").select(plain("kind").alias("k_kind"), "speed")
     df = table(spark, folder, "traffic").join(kinds, plain("kind") == F.col("k_kind"), "left")
-    return flag_readings(df, F.col("reading_id"), F.col("name"), millis("time"), F.col("value"), F.col("speed"), reading_missing(F.col("value"), F.col("status")))
+    return flag_readings(df, F.col("reading_id"), F.col("name"), millis("time"), F.col("value"), F.col("speed"), reading_missing(F.col("value"), F.col("status")), by_chart=by_chart)
+
+
+def p4_method(spark: SparkSession, folder: str) -> DataFrame:
+    """What the control chart marks by itself, without the exact check."""
+    return flagged(spark, folder, by_chart=True).select("reading_id", "flaw").distinct()
+
+
+def p4_flags(spark: SparkSession, folder: str) -> DataFrame:
+    """Flagged readings with their distance from the level and the source's scatter."""
+    return flagged(spark, folder)
 
 
 def p4_found(spark: SparkSession, folder: str) -> DataFrame:
@@ -134,6 +143,7 @@ def data_queries() -> dict:
         "p2_periods": p2_periods,
         "p3_found": p3_found,
         "p3_regular": p3_regular,
+        "p4_method": p4_method,
         "p4_found": p4_found,
         "p4_flags": p4_flags,
         "p5_percentiles": p5_percentiles,

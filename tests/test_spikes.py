@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from chronoweave.operators.spikes import SpikeRules, around, control_chart, flag_readings
+from chronoweave.operators.spikes import SpikeRules, around, control_charts, flag_readings
 
 SCHEMA = "id long, name string, ms long, value double, top double"
 
@@ -17,12 +17,13 @@ def run(spark, rows, **kw):
 
 
 def brute(rows):
-    """The rule itself: every reading's distance from the median around it, without any chart."""
+    """The rule itself: every reading's distance from the median around it, without any chart. Windows do not reach beyond
+    the segment's halo."""
     out = {}
     seen = {}
     for i, n, t, v, top in rows:
         if v is not None and v == v and t is not None:
-            seen.setdefault(n, {})[(t, i)] = (i, v, top)
+            seen.setdefault(n, {}).setdefault((t, i), (i, v, top))
     for readings in seen.values():
         rs = [readings[k] for k in sorted(readings)]
         v = np.array([r[1] for r in rs])
@@ -73,10 +74,28 @@ def test_against_the_rule(spark):
     assert {"impossible", "stuck", "spike"} == set(got.values())
 
 
-@pytest.mark.parametrize("chunk_rows", [300, 1000])
+@pytest.mark.parametrize("chunk_rows", [300, 1000, 100_000])
 def test_chunks_change_nothing(spark, chunk_rows):
-    rows = source("a", 3000, 1) + source("b", 400, 2, first=10_000)
-    assert run(spark, rows, chunk_rows=chunk_rows) == brute(rows)
+    rows = source("a", 6000, 1) + source("b", 400, 2, first=10_000)
+    rows += [(20_000 + i, "idle", i * 1000, 4.0 if i % 7 else 4.0 + i, None) for i in range(4000)]
+    rows += [(30_000 + i, "constant", i * 1000, 9.0, 100.0) for i in range(4000)]
+    # a heavy second within a heavy day, a stuck run over several segments, repeats, a source without a name, half of one value
+    rows += [(40_000 + i, "burst", i // 4 if i < 3000 else 40_000 * i, 100.0 + (i * 7919) % 13 + (500.0 if i % 211 == 5 else 0.0), None) for i in range(5000)]
+    rows += [(50_000 + i, "long run", i * 300_000, 5.0 if 500 < i < 2400 else 50.0 + (i * 31) % 17 + (900.0 if i % 307 == 9 else 0.0), None) for i in range(5000)]
+    rows += [(60_000 + i, None, i * 60_000, 50.0 + (i * 31) % 17 + (900.0 if i % 307 == 9 else 0.0), None) for i in range(2000)]
+    rows += [(70_000 + i, "half", i * 60_000, 50.0 if i % 2 else 51.0 + (i * 31) % 17, None) for i in range(4000)]
+    rows += rows[::5]
+    want = brute(rows)
+    assert run(spark, rows, chunk_rows=chunk_rows) == want
+    assert not any(20_000 <= i < 40_000 for i in want) and any(want.get(i) == "spike" for i in range(40_000, 43_000))
+
+
+def test_what_the_chart_marks_does_not_depend_on_chunks(spark):
+    rows = source("a", 6000, 1) + source("b", 400, 2, first=10_000)
+    whole = run(spark, rows, by_chart=True)
+    assert run(spark, rows, by_chart=True, chunk_rows=500) == whole
+    planted = {i for i, f in run(spark, rows).items() if f == "spike"}
+    assert len(planted & {i for i, f in whole.items() if f == "spike"}) >= 0.7 * len(planted)
 
 
 def test_repeats_ties_nulls_idle_and_empty(spark):
@@ -96,5 +115,5 @@ def test_repeats_ties_nulls_idle_and_empty(spark):
 
 def test_chart_recentres_after_a_lasting_change():
     x = [10.0, 10.1, 9.9, 10.0] * 10 + [50.0, 50.1, 49.9, 50.0] * 20
-    marks = control_chart(x, SpikeRules(), 10.0, 0.1)
-    assert all(marks[40:44]) and not any(marks[90:])
+    marks, short = control_charts([np.array(x), np.array(x[:41])], np.array([10.0, 10.0]), np.array([0.1, 0.1]), SpikeRules())
+    assert marks[40:44].all() and not marks[90:].any() and (short == marks[:41]).all()
