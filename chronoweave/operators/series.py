@@ -421,8 +421,17 @@ class Series:
 
     def at_time(self, t: datetime | int) -> Series:
         """The row at a time or the last before it; before all, the first."""
-        pos = self.bisect(t)
-        return self._join_positions(pos, F.col("_pos") == F.col("pos"))
+        if self.split_ms is None:
+            return self._join_positions(self.bisect(t), F.col("_pos") == F.col("pos"))
+        row = F.struct("_t", "_ord")
+        at = self._with(self.df, self.df.groupBy(*self.by).agg(self._place(tk.to_ms(t), row).alias("_lo")))
+        return self.with_df(at.where(row.eqNullSafe(F.col("_lo"))).drop("_lo"))
+
+    @staticmethod
+    def _place(ms: int, row: Column) -> Column:
+        """Of rows in time order: the first at exactly a time, else the last before it, else the first of all."""
+        t = F.col("_t")
+        return F.coalesce(F.min(F.when(t == ms, row)), F.max(F.when(t.isNull() | (t < ms), row)), F.min(row))
 
     def as_of(self, probes: Series) -> DataFrame:
         """For every row of `probes` (a series with the same `by` columns) the row of this one at its time or the last before it,
@@ -453,6 +462,11 @@ class Series:
 
         The row at the end is left out even where the series ends before it.
         """
+        if self.split_ms is not None:
+            # in time order a place is a key, so nothing is numbered and no row is moved
+            row = F.struct("_t", "_ord")
+            ends = self.df.groupBy(*self.by).agg(self._place(span.begin, row).alias("_lo"), self._place(span.end, row).alias("_hi"))
+            return self.with_df(self._with(self.df, ends).where((row >= F.col("_lo")) & (row < F.col("_hi"))).drop("_lo", "_hi"))
         x = self.positions()
         keyed = self._with(x, self._search(x, span.begin, "_lo")).where(F.col("_pos") >= F.col("_lo"))
         kept = self._with(keyed, self._search(keyed, span.end, "_hi")).where(F.col("_pos") < F.col("_hi"))
@@ -582,7 +596,8 @@ class Series:
         return self.aggregate(Reducer("last").with_policy(policy or "keep"), path)
 
     def median(self, path: Path = None, policy: str | None = None) -> Any:
-        return self.aggregate(Reducer("median").with_policy(policy or "keep"), path)
+        r = Reducer("median").with_policy(policy or "keep")
+        return self._cut([Fraction(1, 2)], path, "linear")[0] if r.policy in ("keep", "ignore") else self.aggregate(r, path)
 
     def stdev(self, path: Path = None, policy: str | None = None) -> Any:
         return self.aggregate(Reducer("stddev").with_policy(policy or "keep"), path)
@@ -660,7 +675,7 @@ class Series:
             if kind is not None and not isinstance(kind, (T.StructType, T.ArrayType, T.MapType)):
                 parts.append((p, kind, need(self.df, p)))
         marks = {f"f{i}": F.when(valid(c, k), F.struct(F.col("_t").alias("t"), c.alias("x"))) for i, (_, k, c) in enumerate(parts)}
-        x = add_neighbours(self.df, list(self.by), "_t", "_ord", marks, self.split_ms)
+        x = add_neighbours(self.df, list(self.by), "_t", "_ord", marks, self.split_ms, following=method == "linear")
         out = x
         for i, (p, kind, c) in enumerate(parts):
             prev, nxt = F.col(f"__prev_f{i}"), F.col(f"__next_f{i}")
@@ -685,7 +700,7 @@ class Series:
     def _pairs(self, fields: list[tuple[tuple[str, ...], T.DataType, Column]]) -> DataFrame:
         """Rows with `_pt` and `_p0`, `_p1` ..: time and values of the row before."""
         row = F.struct(F.col("_t").alias("t"), *[c.alias(f"v{i}") for i, (_, _, c) in enumerate(fields)])
-        x = add_neighbours(self.df, list(self.by), "_t", "_ord", {"row": row}, self.split_ms, strict=True)
+        x = add_neighbours(self.df, list(self.by), "_t", "_ord", {"row": row}, self.split_ms, strict=True, following=False)
         p = F.col("__prev_row")["v"]
         x = x.withColumn("_pt", p["t"]).withColumns({f"_p{i}": p[f"v{i}"] for i in range(len(fields))})
         return drop_neighbours(x)

@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from chronoweave.operators.cells import DAY_MS
 from chronoweave.operators.percentiles import values_at_ranks
-from chronoweave.plans.scale import sized_broadcast, whole_groups
+from chronoweave.plans.scale import keep, sized_broadcast, whole_groups
 
 #: Places of a source that are charted together, and those that a segment sees beyond its own on either side.
 SEGMENT, HALO = 1024, 256
@@ -345,9 +345,9 @@ def _units(good: DataFrame, chunk_rows: int, bucket_ms: int) -> tuple[DataFrame,
     most = max(1, chunk_rows // UNIT_SHARE)
     days = good.groupBy("name", day.alias("start")).agg(F.count(F.lit(1)).alias("n"))
     total = F.sum("n").over(Window.partitionBy("name"))
-    hot = days.withColumn("total", total).where(F.col("total") > chunk_rows).select("name", "start", "n").persist()
+    hot = days.withColumn("total", total).where(F.col("total") > chunk_rows).select("name", "start", "n")
+    hot = keep(hot)
     if hot.isEmpty():
-        hot.unpersist()
         return None
     names = hot.select(F.col("name").alias("h_name")).distinct()
     rows = good.join(sized_broadcast(names), F.col("name").eqNullSafe(F.col("h_name"))).drop("h_name").withColumn("start", day).withColumn("day", day)
@@ -362,7 +362,7 @@ def _units(good: DataFrame, chunk_rows: int, bucket_ms: int) -> tuple[DataFrame,
         finer = rows.where("split").groupBy("name", "day", "start").agg(F.count(F.lit(1)).alias("n"))
         rows = rows.drop("split")
         units = units.join(heavy, on, "left_anti").unionByName(finer.select("name", "start", "n", "day"))
-    units = units.persist()
+    units = keep(units)
     within = Window.partitionBy("name", "day").orderBy("start")
     per = units.groupBy("name", "day").agg(F.sum("n").alias("all"))
     offset = per.withColumn("offset", F.sum("all").over(Window.partitionBy("name").orderBy("day")) - F.col("all")).withColumn("total", F.sum("all").over(Window.partitionBy("name")))
@@ -399,7 +399,7 @@ def flag_readings(df: DataFrame, reading_id: Column, name: Column, ms: Column, v
     if cut is None:
         return flags
     long = rows.join(sized_broadcast(chunks), F.col("name").eqNullSafe(F.col("h_name")) & (F.col("start") == F.col("h_start"))).select("reading_id", "name", "ms", "value", "limit", "chunk", "before")
-    parts = long.repartition("name", "chunk").sortWithinPartitions("name", "chunk", "ms", "reading_id").mapInPandas(_chart_parts(rules, chunk_rows), _PARTS).persist()
+    parts = keep(long.repartition("name", "chunk").sortWithinPartitions("name", "chunk", "ms", "reading_id").mapInPandas(_chart_parts(rules, chunk_rows), _PARTS))
     stats = sized_broadcast(_source_stats(parts))
     marked = parts.where("seg >= 0").join(stats, F.col("name").eqNullSafe(F.col("s_name"))).select("name", "chunk", "seg", "rank", "reading_id", "ms", "away", "flag", "lone", "scatter", "idle")
     # a segment's impossible and stuck readings have no place in its order (rank -1) and come first

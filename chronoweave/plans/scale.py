@@ -8,20 +8,61 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-#: A side of a join is broadcast only if it was counted and has at most this many rows.
-BROADCAST_ROWS = 200_000
+from chronoweave.functions.paths import quoted
 
+#: A side of a join is broadcast only if its values were measured and have at most this many bytes.
+BROADCAST_BYTES = 32 << 20
 
-def sized_broadcast(small: DataFrame, limit: int = BROADCAST_ROWS) -> DataFrame:
-    """Hint a broadcast of `small` if a count proves that it has at most `limit` rows, else leave the join to Catalyst.
 
-    The side is persisted, so the count and the join compute it once; the count reads at most `limit` + 1 rows.
+_KEPT: list[DataFrame] = []
+
+
+def keep(df: DataFrame) -> DataFrame:
+    """Persists an intermediate frame that a lazy result still needs; `release` frees all of them."""
+    _KEPT.append(df.persist())
+    return _KEPT[-1]
+
+
+def release() -> None:
+    """Frees what the operators have kept so far. Results that were not used yet stay right; they compute it again."""
+    while _KEPT:
+        df = _KEPT.pop()
+        if df.sparkSession.sparkContext._jsc is not None:
+            df.unpersist()
+
+
+def plan_bytes(df: DataFrame) -> int:
+    """Catalyst's estimate of a plan's size, from the sizes of its files; nothing is run. Unknown sizes are huge."""
+    return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+
+
+def _row_bytes(df: DataFrame) -> Column:
+    """Bytes of a row: 16 for itself and for each value, and the length of texts, bytes and nested values."""
+    size = F.lit(16).cast("long")
+    for f in df.schema:
+        c = F.col(quoted((f.name,)))
+        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
+            c = F.octet_length(c)
+        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
+            c = F.octet_length(F.to_json(F.struct(c)))
+        else:
+            c = F.lit(0)
+        size = size + F.lit(16) + F.coalesce(c, F.lit(0))
+    return size
+
+
+def sized_broadcast(small: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Hint a broadcast of `small` if its measured bytes are at most `limit`, else leave the join to Catalyst.
+
+    The side is persisted, so measuring and joining compute it once; `release` frees it.
     """
-    kept = small.persist()
-    return F.broadcast(kept) if kept.limit(limit + 1).count() <= limit else kept
+    kept = keep(small)
+    size = kept.agg(F.sum(_row_bytes(kept)).alias("b")).first()["b"] or 0
+    return F.broadcast(kept) if size <= limit else kept
 
 
 def checkpoint_dir(spark: SparkSession) -> str:

@@ -381,3 +381,19 @@ def test_three_steps_and_by_columns(spark):
     assert {round(e["v_rate"] * 60, 9) for e in x.events() if e["k"] == "a"} == {1.0}
     assert {round(e["v_rate"] * 60, 9) for e in x.events() if e["k"] == "b"} == {2.0}
     assert {r_["k"]: r_["end_ms"] for r_ in s.extents().collect()} == {"a": 660_000, "b": 660_000}
+
+
+@pytest.mark.parametrize("split_rows", [10, 1_000_000])
+def test_heavy_buckets_are_halved_and_change_nothing(spark, monkeypatch, split_rows):
+    from chronoweave.operators import neighbours
+
+    monkeypatch.setattr(neighbours, "SPLIT_ROWS", split_rows)
+    monkeypatch.setattr(neighbours, "SPLIT_BYTES", 0)
+    rows = [(i, "a", None if i < 5 else 1_000 + (i // 3) * (7 if i < 150 else 900_000), None if i % 4 else float(i)) for i in range(300)]
+    df = spark.createDataFrame(rows, "id int, name string, ms long, value double")
+    one = Series.from_frame(df, time="ms", order="id", by=("name",), split_ms=None).fill("value", "linear")
+    cut = Series.from_frame(df, time="ms", order="id", by=("name",)).fill("value", "linear")
+    assert sorted(map(str, cut.df.collect())) == sorted(map(str, one.df.collect()))
+    probes = Series.from_frame(df.where("id % 7 = 0").withColumn("ms", F.col("ms") + 3).drop("value"), time="ms", order="id", by=("name",))
+    a, b = (Series.from_frame(df.where("ms is not null"), time="ms", order="id", by=("name",), split_ms=x).as_of(probes) for x in (None, 86_400_000))
+    assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
