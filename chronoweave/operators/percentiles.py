@@ -1,9 +1,10 @@
 """Exact percentiles per group by cumulative frequencies.
 
-Rows become (group, value) counts, range-sorted: a group with many rows is cut at splitters (approximate quantiles, which
-only balance the work), so no task holds a whole hot group. Running sums within a range plus the totals of the ranges
-before it give every value's last rank; a percentile is the first value that reaches its target rank. Counts of separate
-days or files add up to the counts of all, so partial results can be put together without error.
+Rows become (group, value) counts. Groups of up to `RANGE_ROWS` rows are a window each. The counts of larger ones are sorted
+by range over as many partitions as their rows ask for, so no task holds a whole hot group, and a frequent value is counted
+in salted parts before it moves. Running sums within a range plus the totals of the ranges before it give every value's
+last rank; a percentile is the first value that reaches its target rank. Counts of separate days or files add up to the
+counts of all, so partial results can be put together without error.
 """
 
 from __future__ import annotations
@@ -14,13 +15,13 @@ from fractions import Fraction
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from chronoweave.plans.scale import sized_broadcast
+from chronoweave.plans.scale import keep, sized_broadcast
 
-#: A group with more rows than this is cut into ranges of about this size.
+#: Groups with more rows than this are sorted by ranges of about this size.
 RANGE_ROWS = 250_000
 
-#: Ranges of one group.
-RANGES = 64
+#: Parts in which the repeats of one (group, value) are counted before they meet.
+SALTS = 4096
 
 
 def value_counts(df: DataFrame, group: Iterable[str], value: str, count: str | None = None) -> DataFrame:
@@ -29,19 +30,18 @@ def value_counts(df: DataFrame, group: Iterable[str], value: str, count: str | N
     return df.where(F.col(value).isNotNull() & ~F.isnan(value)).groupBy(*group, value).agg(n.alias("n"))
 
 
-def hot_cuts(df: DataFrame, group: str, value: str, range_rows: int = RANGE_ROWS) -> DataFrame | None:
-    """__hot, __cuts: the groups of more than `range_rows` rows with splitters that cut them into ranges; None without such.
-
-    The splitters are approximate quantiles of bounded size and only balance the work. There are at most rows / range_rows
-    such groups; whoever joins them checks their number.
-    """
-    size = df.groupBy(group).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > range_rows)
-    hot = size.select(F.col(group).alias("__hot")).persist()
-    if hot.isEmpty():
-        return None
-    marks = F.array(*[F.lit(i / RANGES) for i in range(1, RANGES)])
-    own = df.join(sized_broadcast(hot), F.col(group).eqNullSafe(F.col("__hot")))
-    return own.groupBy("__hot").agg(F.array_distinct(F.percentile_approx(value, marks, F.lit(1000))).alias("__cuts"))
+def _running(counts: DataFrame, ranges: int, group: str, value: str) -> DataFrame:
+    """group, value, __c, high (rank of the value's last row), n of (group, value, __c) rows, sorted by `ranges` ranges."""
+    placed = counts.repartitionByRange(ranges, group, value).withColumn("__range", F.spark_partition_id())
+    per = Window.partitionBy("__range", group)
+    once = placed.repartition("__range", group).groupBy("__range", group, value).agg(F.sum("__c").alias("__c"))
+    # kept, because ranges are drawn by sampling and both readers must see the same ones
+    run = keep(once.withColumn("__sum", F.sum("__c").over(per.orderBy(value))))
+    total = run.groupBy(F.col(group).alias("__group"), F.col("__range").alias("__r")).agg(F.max("__sum").alias("__t"))
+    w = Window.partitionBy("__group")
+    total = total.select("__group", "__r", (F.sum("__t").over(w.orderBy("__r")) - F.col("__t")).alias("__before"), F.sum("__t").over(w).alias("n"))
+    at = run.join(sized_broadcast(total), F.col(group).eqNullSafe(F.col("__group")) & (F.col("__range") == F.col("__r")))
+    return at.select(group, value, "__c", (F.col("__before") + F.col("__sum")).alias("high"), "n")
 
 
 def values_at_ranks(df: DataFrame, group: str, value: str, ranks: dict[str, Callable[[Column], Column]], distinct_by: str | None = None, count: str | None = None, range_rows: int = RANGE_ROWS) -> DataFrame:
@@ -55,30 +55,25 @@ def values_at_ranks(df: DataFrame, group: str, value: str, ranks: dict[str, Call
     good = df.select(F.col(group), (F.col(value) + F.lit(0)).alias(value), *keep).where(F.col(value).isNotNull() & ~F.isnan(F.col(value).cast("double")))
     n = F.count(F.lit(1)) if count is None else F.sum(count)
 
-    def counts(x: DataFrame, part: list[str]) -> DataFrame:
-        """One exchange by `part`; duplicates and equal values meet there."""
-        x = x.repartition(*part)
+    size = good.groupBy(F.col(group).alias("__hot")).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > range_rows)
+    hot = sized_broadcast(size)
+    rows = hot.agg(F.sum("__n").alias("n")).first()["n"] or 0
+    of_hot = F.col(group).eqNullSafe(F.col("__hot"))
+    cold = (good.join(hot, of_hot, "left_anti") if rows else good).repartition(group)
+    if distinct_by is not None:
+        cold = cold.dropDuplicates([group, value, distinct_by])
+    w = Window.partitionBy(group)
+    counts = cold.groupBy(group, value).agg(n.alias("__c"))
+    at = counts.select(group, value, "__c", F.sum("__c").over(w.orderBy(value)).alias("high"), F.sum("__c").over(w).alias("n"))
+    if rows:
+        large = good.join(hot, of_hot).drop("__hot", "__n")
         if distinct_by is not None:
-            x = x.dropDuplicates([*part, value, distinct_by])
-        return x.groupBy(*part, value).agg(n.alias("__c"))
-
-    cuts = hot_cuts(good, group, value, range_rows)
-    if cuts is None:
-        w = Window.partitionBy(group)
-        at = counts(good, [group]).withColumn("__sum", F.sum("__c").over(w.orderBy(value))).withColumn("n", F.sum("__c").over(w))
-        high = F.col("__sum")
-    else:
-        part = [group, "__range"]
-        marked = good.join(sized_broadcast(cuts), F.col(group).eqNullSafe(F.col("__hot")), "left")
-        marked = marked.withColumn("__range", F.coalesce(F.size(F.filter("__cuts", lambda s: s <= F.col(value))), F.lit(0)))
-        w, per = Window.partitionBy(*part), Window.partitionBy(group)
-        run = counts(marked.drop("__cuts", "__hot"), part).withColumn("__sum", F.sum("__c").over(w.orderBy(value))).withColumn("__t", F.sum("__c").over(w))
-        # totals of the ranges are needed for hot groups only, so only their rows are read twice
-        own = counts(marked.where("__cuts is not null").drop("__cuts", "__hot"), part).groupBy(*part).agg(F.sum("__c").alias("__t"))
-        offs = own.select(F.col(group).alias("__group"), F.col("__range").alias("__r"), (F.sum("__t").over(per.orderBy("__range")) - F.col("__t")).alias("__before"), F.sum("__t").over(per).alias("__all"))
-        at = run.join(sized_broadcast(offs), F.col(group).eqNullSafe(F.col("__group")) & (F.col("__range") == F.col("__r")), "left")
-        at = at.withColumn("n", F.coalesce("__all", "__t"))
-        high = F.coalesce("__before", F.lit(0)) + F.col("__sum")
+            large = large.withColumn("__salt", F.pmod(F.xxhash64(distinct_by), F.lit(SALTS))).repartition(group, value, "__salt")
+            large = large.dropDuplicates([group, value, "__salt", distinct_by]).groupBy(group, value, "__salt").agg(n.alias("__c")).drop("__salt")
+        else:
+            large = large.groupBy(group, value).agg(n.alias("__c"))
+        at = at.unionByName(_running(large, -(-rows // range_rows), group, value))
+    high = F.col("high")
     low = high - F.col("__c")
     picks = [(name, F.when((low < rank(F.col("n"))) & (rank(F.col("n")) <= high), F.col(value))) for name, rank in ranks.items()]
     hit = picks[0][1].isNotNull()

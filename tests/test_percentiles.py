@@ -21,6 +21,7 @@ def brute(values, p):
 def data():
     rng = random.Random(3)
     rows = [(i, "hot", float(rng.choice([1, 2, 3, rng.gauss(0, 50)])), i % 4) for i in range(3000)]
+    rows += [(4000 + i, "idle", 7.0, i % 4) for i in range(700)]
     rows += [(5000 + i, f"s{i % 5}", rng.random(), i % 4) for i in range(300)]
     return rows + [(9000, None, 4.0, 0), (9001, "nan", float("nan"), 0), (9002, "null", None, 0), (9003, "hot", None, 0)]
 
