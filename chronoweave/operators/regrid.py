@@ -1,8 +1,9 @@
 """Irregular readings onto a regular grid by compact-kernel local polynomial regression.
 
-Each reading is indexed by its slot and adds its kernel-weighted moments to the grid times within reach; the moments are
-summed per (series, slot) with map-side combine, together with empty grid rows, so that one shuffle yields both. The fit
-at a grid time is then the closed-form solution of the weighted normal equations.
+Each reading is indexed by its slot. Readings are shuffled once, by (series, block of slots); those within the kernel's reach
+of another block's grid times go there too. Inside a block, without another exchange, every reading adds its kernel-weighted
+moments to the grid times within reach, and the moments are summed per slot together with empty grid rows. The fit at a
+grid time is then the closed-form solution of the weighted normal equations.
 """
 
 from __future__ import annotations
@@ -10,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Slots that one row of the grid's first expansion covers.
-GRID_BLOCK = 4096
+#: Slots of a block, the unit of the shuffle: a hot series is spread over its blocks.
+GRID_BLOCK = 512
 
 #: Least determinant of the normal equations, relative to the sum of weights to the power of their size, by degree. Readings
 #: that lie closer together than this says do not determine a slope or a curve; the fit is then of a lower degree.
@@ -45,26 +46,30 @@ def regular_series(readings: DataFrame, radius: int = 3, degree: int = 1, min_su
     if degree not in (0, 1, 2) or radius < 1:
         raise ValueError("degree must be 0, 1 or 2 and radius at least 1")
     good = readings.select("source", "step_ms", "ms", "value").where(F.col("ms").isNotNull() & F.col("step_ms").isNotNull() & F.col("value").isNotNull() & ~F.isnan("value"))
-    slot = F.floor(F.col("ms") / F.col("step_ms"))
-    points = good.distinct().withColumn("k", slot)
-    reach = F.col("step_ms") * F.lit(float(radius))
-    near = points.withColumn("j", F.explode(F.sequence(F.col("k") - F.lit(radius - 1), F.col("k") + F.lit(radius))))
-    d = (F.col("ms") - F.col("j") * F.col("step_ms")) / reach
-    near = near.withColumn("d", d).where(F.abs("d") < 1).withColumn("w", F.pow(1 - F.pow(F.abs("d"), 3), 3))
+    slot, cut = F.floor(F.col("ms") / F.col("step_ms")), F.lit(GRID_BLOCK)
+    # a reading reaches the grid times from slot k - radius + 1 to k + radius; `b` is each block that has one of them
+    low, high = F.floor((slot - (radius - 1)) / cut), F.floor((slot + radius) / cut)
+    points = good.select("source", "step_ms", "ms", "value", F.explode(F.sequence(low, high)).alias("b"))
+    ends = good.groupBy("source", "step_ms").agg(F.floor(F.min("ms") / F.col("step_ms")).alias("lo"), F.floor(F.max("ms") / F.col("step_ms")).alias("hi"))
+    blocks = ends.withColumn("b", F.explode(F.sequence(F.floor(F.col("lo") / cut), F.floor(F.col("hi") / cut))))
+    nothing = F.lit(None).cast("long"), F.lit(None).cast("double")
+    blocks = blocks.select("source", "step_ms", nothing[0].alias("ms"), nothing[1].alias("value"), "b", "lo", "hi")
+    both = points.select("source", "step_ms", "ms", "value", "b", nothing[0].alias("lo"), nothing[0].alias("hi")).unionByName(blocks)
+    # one exchange; what follows groups by more columns than these, so it stays inside the partitions
+    both = both.repartition("source", "step_ms", "b").dropDuplicates(["source", "step_ms", "b", "ms", "value"])
+    first, past = F.col("b") * cut, (F.col("b") + 1) * cut - 1
+    from_, to = F.coalesce("lo", slot - (radius - 1)), F.coalesce("hi", slot + radius)
+    near = both.withColumn("j", F.explode(F.sequence(F.greatest(from_, first), F.least(to, past)))).withColumn("k", slot)
+    d = (F.col("ms") - F.col("j") * F.col("step_ms")) / (F.col("step_ms") * F.lit(float(radius)))
+    near = near.withColumn("d", d).where(F.col("ms").isNull() | (F.abs("d") < 1)).withColumn("w", F.pow(1 - F.pow(F.abs("d"), 3), 3))
     y = F.col("value")
     sums = {"s0": F.col("w"), "q": F.col("w") * F.col("w"), "t0": F.col("w") * y}
     if degree >= 1:
         sums |= {"s1": F.col("w") * F.col("d"), "s2": F.col("w") * F.col("d") ** 2, "t1": F.col("w") * F.col("d") * y}
     if degree == 2:
         sums |= {"s3": F.col("w") * F.col("d") ** 3, "s4": F.col("w") * F.col("d") ** 4, "t2": F.col("w") * F.col("d") ** 2 * y}
-    own = (F.col("j") == F.col("k")).cast("long")
-    moved = near.select("source", "step_ms", "j", own.alias("n"), F.lit(False).alias("grid"), *[c.alias(s) for s, c in sums.items()])
-    ends = good.withColumn("k", slot).groupBy("source", "step_ms").agg(F.min("k").alias("lo"), F.max("k").alias("hi"))
-    block = ends.withColumn("b", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("hi") - F.col("lo")) / GRID_BLOCK))))
-    start = F.col("lo") + F.col("b") * GRID_BLOCK
-    grid = block.withColumn("j", F.explode(F.sequence(start, F.least(F.col("hi"), start + (GRID_BLOCK - 1)))))
-    grid = grid.select("source", "step_ms", "j", F.lit(0).cast("long").alias("n"), F.lit(True).alias("grid"), *[F.lit(None).cast("double").alias(s) for s in sums])
-    m = moved.unionByName(grid).groupBy("source", "step_ms", "j").agg(F.sum("n").alias("n"), F.max("grid").alias("grid"), *[F.sum(s).alias(s) for s in sums]).where("grid")
+    grid = F.max(F.col("ms").isNull())
+    m = near.groupBy("source", "step_ms", "b", "j").agg(F.count_if(F.col("j") == F.when(F.col("ms").isNotNull(), F.col("k"))).alias("n"), grid.alias("grid"), *[F.sum(x).alias(s) for s, x in sums.items()]).where("grid")
     c = {s: F.col(s) for s in sums}
     fit = F.try_divide(c["t0"], c["s0"])
     if degree >= 1:

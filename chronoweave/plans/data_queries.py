@@ -86,7 +86,9 @@ def p2_periods(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def regular(spark: SparkSession, folder: str) -> DataFrame:
-    df = table(spark, folder, "series_points").select(F.col("name").alias("source"), step_millis(F.col("step")).alias("step_ms"), F.explode("points").alias("p"))
+    # the step is read once per batch, before its points become rows
+    df = table(spark, folder, "series_points").select(F.col("name").alias("source"), step_millis(F.col("step")).alias("step_ms"), "points")
+    df = df.select("source", "step_ms", F.explode("points").alias("p"))
     return regular_series(df.select("source", "step_ms", millis(F.col("p")["time"]).alias("ms"), F.col("p")["value"].alias("value")))
 
 
