@@ -6,7 +6,8 @@ Rows are clustered by K-prototypes on their observed numeric and categorical fea
 for a cell that was not missing.
 
 Medians are `percentile_approx` with accuracy 10,000: the exact lower median up to about 10,000 distinct values, within
-a rank error of 1/10,000 beyond, in bounded memory. Everything runs in one exchange by the group's keys.
+a rank error of 1/10,000 beyond, in bounded memory. Everything runs in one exchange by the group's keys, except for groups of
+more than `HOT_ROWS` rows: their rows are salted by id, the medians and modes are aggregated before they move, and joined back.
 """
 
 from __future__ import annotations
@@ -16,12 +17,20 @@ from collections.abc import Iterable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from chronoweave.operators.neighbours import SPLIT_BYTES
 from chronoweave.operators.prototypes import fit_prototypes
+from chronoweave.plans.scale import keep, plan_bytes, sized_broadcast
 
 ACCURACY = 10_000
 
+#: Rows above which a group is no task of its own.
+HOT_ROWS = 1_000_000
 
-def fill_from_similar(df: DataFrame, row_id: str, group: Iterable[str], targets: dict[str, Column], numeric: dict[str, Column], categorical: dict[str, Column], k: int = 8, steps: int = 3) -> DataFrame:
+#: Parts of a hot group; rows of one id are in the same one.
+SALTS = 4096
+
+
+def fill_from_similar(df: DataFrame, row_id: str, group: Iterable[str], targets: dict[str, Column], numeric: dict[str, Column], categorical: dict[str, Column], k: int = 8, steps: int = 20, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Fill the fields of `targets` (name -> missing predicate) within `group`; each `row_id` counts once.
 
     Returns `df`, one row per `row_id`, with `<field>_filled` and `<field>_fill` for every target. Repeated rows of an id
@@ -34,22 +43,46 @@ def fill_from_similar(df: DataFrame, row_id: str, group: Iterable[str], targets:
     seen = df.withColumn("__cluster", model.cluster())
     for f, missing in targets.items():
         seen = seen.withColumn(f"__gone_{f}", F.coalesce(missing, F.lit(False)))
-    one = seen.repartition(*[F.col(g) for g in group]).dropDuplicates([*group, row_id])
-    wide, near = Window.partitionBy(*group), Window.partitionBy(*group, "__cluster")
     keyed = F.lit(True)
     for g in group:
         keyed = keyed & F.col(g).isNotNull()
-    for f in targets:
-        good = F.when(~F.col(f"__gone_{f}"), F.col(f))
-        middle = F.mode(good, True) if kinds[f] == "string" else F.percentile_approx(good, F.lit(0.5), F.lit(ACCURACY))
-        one = one.withColumn(f"__near_{f}", middle.over(near))
-    for f in targets:
-        good = F.when(~F.col(f"__gone_{f}"), F.col(f))
-        middle = F.mode(good, True) if kinds[f] == "string" else F.percentile_approx(good, F.lit(0.5), F.lit(ACCURACY))
-        one = one.withColumn(f"__wide_{f}", middle.over(wide))
+
+    def middles(prefix: str) -> dict[str, Column]:
+        out = {}
+        for f in targets:
+            good = F.when(~F.col(f"__gone_{f}"), F.col(f))
+            out[f"{prefix}{f}"] = F.mode(good, True) if kinds[f] == "string" else F.percentile_approx(good, F.lit(0.5), F.lit(ACCURACY))
+        return out
+
+    hot = None
+    if plan_bytes(df) >= SPLIT_BYTES:
+        hot = seen.where(keyed).groupBy(*group).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_rows)
+        hot = sized_broadcast(hot.select(*[F.col(g).alias(f"__h{i}") for i, g in enumerate(group)]))
+    large = None if hot is None or hot.isEmpty() else seen.join(hot, _same(group), "left_semi")
+    cold = seen if large is None else seen.join(hot, _same(group), "left_anti")
+    one = cold.repartition(*[F.col(g) for g in group]).dropDuplicates([*group, row_id])
+    wide, near = Window.partitionBy(*group), Window.partitionBy(*group, "__cluster")
+    one = one.withColumns({name: m.over(near) for name, m in middles("__near_").items()})
+    one = one.withColumns({name: m.over(wide) for name, m in middles("__wide_").items()})
+    if large is not None:
+        salted = large.withColumn("__salt", F.pmod(F.xxhash64(row_id), F.lit(SALTS))).repartition(*[F.col(g) for g in group], F.col("__salt"))
+        rows = keep(salted.dropDuplicates([*group, "__salt", row_id]).drop("__salt"))
+        per = [F.col(g).alias(f"__h{i}") for i, g in enumerate(group)]
+        by_cluster = rows.groupBy(*per, F.col("__cluster").alias("__hc")).agg(*[m.alias(name) for name, m in middles("__near_").items()])
+        by_group = rows.groupBy(*per).agg(*[m.alias(name) for name, m in middles("__wide_").items()])
+        drop = [f"__h{i}" for i in range(len(group))]
+        rows = rows.join(sized_broadcast(by_cluster), _same(group) & (F.col("__cluster") == F.col("__hc"))).drop("__hc", *drop)
+        one = one.unionByName(rows.join(sized_broadcast(by_group), _same(group)).drop(*drop))
     out = one
     for f in targets:
         gone, c, p = F.col(f"__gone_{f}"), F.col(f"__near_{f}"), F.col(f"__wide_{f}")
         out = out.withColumn(f"{f}_filled", F.when(~gone, F.col(f)).when(keyed, F.coalesce(c, p)))
         out = out.withColumn(f"{f}_fill", F.when(gone, F.when(keyed & c.isNotNull(), "cluster").when(keyed & p.isNotNull(), "group").otherwise("none")))
     return out.drop("__cluster", *[f"{x}{f}" for f in targets for x in ("__gone_", "__near_", "__wide_")])
+
+
+def _same(group: list[str]) -> Column:
+    on = F.lit(True)
+    for i, g in enumerate(group):
+        on = on & (F.col(g) == F.col(f"__h{i}"))
+    return on

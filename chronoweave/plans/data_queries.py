@@ -140,6 +140,7 @@ def p5_merged_days(spark: SparkSession, folder: str) -> DataFrame:
 def data_queries() -> dict:
     return {
         "p1_found": p1_found,
+        "p1_cells": p1_cells,
         "p1_methods": p1_methods,
         "p2_found": p2_found,
         "p2_periods": p2_periods,

@@ -13,6 +13,52 @@ from chronoweave.operators.prototypes import fit_prototypes
 SCHEMA = "id long, g string, day long, kind string, x double, v double"
 
 
+@pytest.mark.parametrize("k", [1, 3])
+def test_hot_groups_get_the_same_fills(spark, monkeypatch, k):
+    from chronoweave.operators import impute
+
+    rows = [(i, "hot" if i % 3 else f"s{i % 4}", i % 2, "pq"[i % 2], float(i % 7), None if i % 5 == 0 else float((i * 37) % 101)) for i in range(400)]
+    rows += rows[::9] + [(900, None, 1, None, None, None), (901, "hot", None, None, None, None)]
+    whole = sorted(map(str, run(spark, rows, k=k).collect()))
+    monkeypatch.setattr(impute, "SPLIT_BYTES", 0)
+    assert sorted(map(str, run(spark, rows, k=k, hot_rows=50).collect())) == whole
+
+
+def test_hidden_cells_are_filled_better_than_by_the_group(spark):
+    import random
+
+    rng = random.Random(4)
+    rows = []
+    for g in range(6):
+        for i in range(240):
+            level = 3.0 + 2.0 * ((i // 40) % 3)
+            x, v = level + rng.gauss(0, 0.2), (g + 1) * 10 * level + rng.gauss(0, 2)
+            rows.append((len(rows), f"s{g}", 1, "p", x, v))
+    hidden = {r[0]: r[5] for r in rows if rng.random() < 0.1}
+    got = run(spark, [(*r[:5], None if r[0] in hidden else r[5]) for r in rows], k=3).collect()
+    error = {True: [], False: []}
+    groups = defaultdict(list)
+    for r in rows:
+        if r[0] not in hidden:
+            groups[r[1]].append(r[5])
+    for r in got:
+        if r["id"] in hidden:
+            assert r["v_fill"] == "cluster"
+            error[True].append(abs(r["v_filled"] - hidden[r["id"]]))
+            error[False].append(abs(median_low(groups[r["g"]]) - hidden[r["id"]]))
+    assert median_low(error[True]) < 0.3 * median_low(error[False])
+
+
+def test_rows_without_a_feature_join_clusters_that_have_it(spark):
+    from pyspark.sql import functions as F
+
+    rows = [(i, "a", 1, float(i % 2) * 10, 100.0 * (i % 2) + i % 3) for i in range(60)] + [(100, "a", 1, 10.0, None), (101, "a", 1, 0.0, None)]
+    df = spark.createDataFrame(rows, "id long, g string, day long, x double, v double")
+    out = fill_from_similar(df, "id", ["g", "day"], {"v": F.col("v").isNull()}, {"f_x": F.col("x"), "f_v": F.col("v")}, {}, k=4)
+    got = {r["id"]: (r["v_fill"], r["v_filled"]) for r in out.where("v is null").collect()}
+    assert got[100][0] == got[101][0] == "cluster" and got[100][1] > 90 and got[101][1] < 10
+
+
 def run(spark, rows, schema=SCHEMA, **kw):
     df = spark.createDataFrame(rows, schema)
     return fill_from_similar(df, "id", ["g", "day"], {"v": F.col("v").isNull() | F.isnan("v")}, {"f_x": F.col("x")}, {"f_kind": F.col("kind")}, **kw)
