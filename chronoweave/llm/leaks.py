@@ -5,8 +5,9 @@ give the window's hash, so windows still meet when ignored words were substitute
 joined with those of the test items. Around each hit the two word sequences are laid over each other on the hit's
 diagonal; the overlap tells the longest exact run and the longest run with few substitutions.
 
-The test side is broadcast only after its windows were counted; beyond the limit the hashes are joined by a shuffle and
-the verification reads the texts of the hit documents only.
+The test side is held in blocks of bounded size, read from the driver one after the other; each block is broadcast and the
+corpus scanned against it, so no window of the corpus is shuffled, no hash gathers rows, and every size of the test side is
+treated alike. One block holds `BLOCK_CHARS` characters of items, so only large test sets need several scans.
 """
 
 from __future__ import annotations
@@ -17,7 +18,8 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark import Broadcast
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 # The masks, 1 for a kept word. Wherever two words of 12 were substituted, one of the masks, moved within the
@@ -25,8 +27,8 @@ from pyspark.sql import functions as F
 MASKS = ("11011111", "1111100011", "1110011011", "1101011011")
 SPAN = 12
 
-#: Windows of the test items up to which their hashes are broadcast.
-TEST_WINDOWS = 2_000_000
+#: Characters of items in one block (an item is never split); its tables take some 10 bytes a character in every worker.
+BLOCK_CHARS = 2_000_000
 
 _KEYED = r"(?:[A-Za-z]*cite[A-Za-z]*|label|bibitem|[A-Za-z]*ref)\*?(?:\s*\[[^\]]*\])*\s*\{[^{}]*\}"
 _MARKUP = re.compile(rf"\\(?:hyperref\s*\[[^\]]*\]|{_KEYED}|(?:begin|end)\s*\{{[^{{}}]*\}}|[A-Za-z@]+\*?)")
@@ -127,9 +129,19 @@ def _rows(doc_id: list, item_id: list, exact: list, loose: list) -> pa.RecordBat
     return pa.RecordBatch.from_arrays([pa.array(doc_id, pa.int64()), pa.array(item_id, pa.int64()), pa.array(exact, pa.int32()), pa.array(loose, pa.int32())], names=["doc_id", "item_id", "exact_words", "tolerant_words"])
 
 
-def _scan(items: list[tuple[int, str]], substitutions: int):
+_SIDE: list = []
+
+
+def _side(block: Broadcast) -> ItemSide:
+    """The tables of a block, built once in a worker; those of the block before are dropped."""
+    if not _SIDE or _SIDE[0] is not block.value:
+        _SIDE[:] = [block.value, ItemSide(block.value)]
+    return _SIDE[1]
+
+
+def _scan(block: Broadcast, substitutions: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        side, cache = ItemSide(items), _Hashes()
+        side, cache = _side(block), _Hashes()
         for b in batches:
             out: tuple[list, list, list, list] = ([], [], [], [])
             for doc, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
@@ -149,36 +161,21 @@ def _scan(items: list[tuple[int, str]], substitutions: int):
     return run
 
 
-def _windows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(id, text) -> one row per distinct window hash and id, a text at a time."""
-    cache = _Hashes()
-    for b in batches:
-        for i, text in zip(b.column(0).to_pylist(), b.column(1), strict=True):
-            h = word_hashes(text.as_py() or "", cache)
-            w = np.unique(np.concatenate([window_hashes(h, mask, m) for m, mask in enumerate(MASKS)]))
-            if len(w):
-                yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array([i] * len(w), pa.int64())], names=["hash", "id"])
-
-
-def _verify(substitutions: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cache = _Hashes()
-        for b in batches:
-            out: tuple[list, list, list, list] = ([], [], [], [])
-            for doc, item, dt, it in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2), b.column(3), strict=True):
-                side = ItemSide([(item, it.as_py() or "")])
-                h = word_hashes(dt.as_py() or "", cache)
-                both = [overlap(h, side.seqs[0], d, substitutions) for _, d in side.hits(h)]
-                if both and max(s for _, s in both) >= SPAN:
-                    for col, v in zip(out, (doc, item, max(e for e, _ in both), max(s for _, s in both)), strict=True):
-                        col.append(v)
-            if out[0]:
-                yield _rows(*out)
-
-    return run
+def item_blocks(items: DataFrame, most: int) -> Iterator[list[tuple[int, str]]]:
+    """(id, text) of the items in blocks of at most `most` characters, or of one item; the driver holds one block."""
+    held: list[tuple[int, str]] = []
+    size = 0
+    for r in items.toLocalIterator(prefetchPartitions=False):
+        if held and size + len(r["item_text"]) > most:
+            yield held
+            held, size = [], 0
+        held.append((r["item_id"], r["item_text"]))
+        size += len(r["item_text"])
+    if held:
+        yield held
 
 
-def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", item_text: str = "text", substitutions: int = 2, test_windows: int = TEST_WINDOWS) -> DataFrame:
+def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: str = "item_id", text: str = "text", item_text: str = "text", substitutions: int = 2, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """Overlaps of documents with test items: doc_id, item_id, exact_words (longest run of equal words), tolerant_words
     (longest run with at most `substitutions` differing words inside); one row per pair with tolerant_words >= 12.
 
@@ -189,13 +186,9 @@ def leaks(docs: DataFrame, items: DataFrame, doc_id: str = "doc_id", item_id: st
     """
     d = docs.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     t = items.select(F.col(item_id).cast("long").alias("item_id"), F.col(item_text).cast("string").alias("item_text")).where("item_text is not null")
-    # characters bound the windows; counted before anything is brought to the driver
-    size: Column = F.coalesce(F.sum(F.length("item_text")), F.lit(0))
-    if (t.agg(size.alias("n")).first()["n"] or 0) <= test_windows:
-        held = [(r["item_id"], r["item_text"]) for r in t.collect()]
-        return d.mapInArrow(_scan(held, substitutions), _LEAKS)
-    left = d.mapInArrow(_windows, "hash long, id long").withColumnRenamed("id", "doc_id")
-    right = t.mapInArrow(_windows, "hash long, id long").withColumnRenamed("id", "item_id")
-    pairs = left.join(right, "hash").select("doc_id", "item_id").distinct()
-    full = pairs.join(d, pairs["doc_id"].eqNullSafe(d["doc_id"])).join(t, pairs["item_id"].eqNullSafe(t["item_id"]))
-    return full.select(pairs["doc_id"], pairs["item_id"], "text", "item_text").mapInArrow(_verify(substitutions), _LEAKS)
+    sc = docs.sparkSession.sparkContext
+    out = None
+    for block in item_blocks(t, block_chars):
+        found = d.mapInArrow(_scan(sc.broadcast(block), substitutions), _LEAKS)
+        out = found if out is None else out.unionByName(found)
+    return out if out is not None else d.where(F.lit(False)).mapInArrow(_scan(sc.broadcast([]), substitutions), _LEAKS)

@@ -48,12 +48,12 @@ def brute(docs, items):
     return out
 
 
-@pytest.mark.parametrize("test_windows", [lk.TEST_WINDOWS, 0])
-def test_found_by_broadcast_and_by_shuffle(spark, test_windows):
+@pytest.mark.parametrize("block_chars", [lk.BLOCK_CHARS, 900])
+def test_found_in_one_block_and_in_several(spark, block_chars):
     docs, items = corpus()
     d = spark.createDataFrame(docs, "doc_id long, text string").withColumn("item_id", F.lit(1)).withColumn("hash", F.lit("x"))
     t = spark.createDataFrame(items, "item_id long, text string").withColumn("doc_id", F.lit(7))
-    got = lk.leaks(d, t, test_windows=test_windows).collect()
+    got = lk.leaks(d, t, block_chars=block_chars).collect()
     assert {(r["doc_id"], r["item_id"]) for r in got if r["exact_words"] >= 12} == brute(docs, items)
     assert len({(r["doc_id"], r["item_id"]) for r in got}) == len(got)
     assert all(r["tolerant_words"] >= r["exact_words"] for r in got)
@@ -75,8 +75,8 @@ def test_substitutions_are_met_by_the_seeds(spark):
     assert (r["exact_words"], r["tolerant_words"]) == (10, 31)
 
 
-@pytest.mark.parametrize("test_windows", [lk.TEST_WINDOWS, 0])
-def test_every_placement_of_two_substitutions_is_found(spark, test_windows):
+@pytest.mark.parametrize("block_chars", [lk.BLOCK_CHARS, 900])
+def test_every_placement_of_two_substitutions_is_found(spark, block_chars):
     items, docs = [], []
     for k, (a, b) in enumerate((a, b) for a in range(12) for b in range(a, 12)):
         w = [f"i{k}x{j}" for j in range(12)]
@@ -90,17 +90,17 @@ def test_every_placement_of_two_substitutions_is_found(spark, test_windows):
     items.append((501, " ".join(three)))
     docs.append((501, " ".join("other" if j in (1, 5, 9) else x for j, x in enumerate(three))))
     d, t = spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")
-    got = {(r["doc_id"], r["item_id"]): r["tolerant_words"] for r in lk.leaks(d, t, test_windows=test_windows).collect()}
+    got = {(r["doc_id"], r["item_id"]): r["tolerant_words"] for r in lk.leaks(d, t, block_chars=block_chars).collect()}
     assert got == {(k, k): 12 for k in range(78)} | {(500, 500): 17}
 
 
-@pytest.mark.parametrize("test_windows", [lk.TEST_WINDOWS, 0])
-def test_rows_without_an_id_count(spark, test_windows):
+@pytest.mark.parametrize("block_chars", [lk.BLOCK_CHARS, 900])
+def test_rows_without_an_id_count(spark, block_chars):
     a, b = " ".join(f"a{j}" for j in range(20)), " ".join(f"b{j}" for j in range(20))
     big = 2**60 + 1  # not a whole float
     d = spark.createDataFrame([(None, a), (None, b), (big, a), (None, None)], "doc_id long, text string")
     t = spark.createDataFrame([(None, a), (big, b), (None, None)], "item_id long, text string")
-    got = sorted((tuple(r) for r in lk.leaks(d, t, test_windows=test_windows).collect()), key=str)
+    got = sorted((tuple(r) for r in lk.leaks(d, t, block_chars=min(block_chars, 90)).collect()), key=str)
     assert got == sorted([(None, None, 20, 20), (None, big, 20, 20), (big, None, 20, 20)], key=str)
 
 
