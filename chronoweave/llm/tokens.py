@@ -2,11 +2,12 @@
 
 1. Documents are read in blocks. Each block splits its texts into pre-tokens, lists its distinct words and keeps every
    document as the positions' word numbers.
-2. The words of all blocks are shuffled by word; each distinct word of the corpus is encoded once.
-3. Ids go back to the blocks as dictionaries, and the documents are reassembled by position.
+2. The words of all blocks are aggregated to the distinct words of the corpus, and each is encoded once.
+3. Ids are joined back to the blocks' words. The join's key is the word and a salt, one for 2^`SALT_BITS` partitions of the input,
+   so a word that every block has is no hot key. The documents are reassembled by position.
 
 What is shuffled per word occurrence is one small number inside the document's row; words and ids travel once per block.
-Decoding joins the fixed table of token bytes.
+Decoding joins the fixed table of token bytes by position, an Arrow batch at a time.
 """
 
 from __future__ import annotations
@@ -18,10 +19,13 @@ from functools import cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from chronoweave.plans.scale import keep
+
 #: The folder of the vocabulary files; a parameter of every function here.
 TOKENIZERS = "/opt/tokenizers"
 
@@ -29,6 +33,9 @@ TOKENIZERS = "/opt/tokenizers"
 BLOCK_CHARS = 4_000_000
 SLICE_CHARS = 1_000_000
 
+#: Partitions of the input that share a salt, as a power of two: some thousand blocks.
+SALT_BITS = 7
+
 # The public pattern that splits text before the merges.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 
@@ -79,6 +86,15 @@ def ranks(folder: str, name: str) -> dict[bytes, int]:
         return {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
 
 
+@cache
+def token_table(folder: str, name: str) -> pa.Array:
+    """Token bytes by id."""
+    tokens: list[bytes | None] = [None] * (max(ranks(folder, name).values()) + 1)
+    for b, i in ranks(folder, name).items():
+        tokens[i] = b
+    return pa.array(tokens, pa.binary())
+
+
 @cache
 def word_encoder(folder: str, name: str):
     """A function from a pre-token to its ids."""
@@ -123,16 +139,13 @@ def _split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def _encode_words(folder: str, name: str):
+    """Distinct words with their salts -> one row per word and salt, with the word's ids."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode = word_encoder(folder, name)
-        last, data = None, b""
-        for b in batches:  # sorted by word: each is encoded when it first comes
-            out = []
-            for w in b.column("word").to_pylist():
-                if w != last:
-                    last, data = w, np.array(encode(w), "<u4").tobytes()
-                out.append(data)
-            yield pa.RecordBatch.from_arrays([b.column("block"), pa.array([WORD] * len(out), pa.int8()), b.column("key"), pa.array(out, pa.binary())], schema=_DICT)
+        for b in batches:
+            data = pa.array([np.array(encode(w), "<u4").tobytes() for w in b.column(0).to_pylist()], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), data], names=["word", "salts", "data"])
 
     return run
 
@@ -171,29 +184,38 @@ def encode_corpus(df: DataFrame, doc_id: Column, text: Column, name: str = "byte
     null doc_id stay separate rows. Texts may have any length; an empty table gives an empty result. Other columns of
     `df` take no part, whatever their names.
     """
-    split = df.select(doc_id.cast("long").alias("doc_id"), text.cast("string").alias("text")).mapInArrow(_split, "block long, kind byte, key long, word string, data binary").persist()
-    words = split.where(F.col("kind") == WORD).select("block", "key", "word")
-    ids = words.repartition("word").sortWithinPartitions("word").mapInArrow(_encode_words(folder, name), "block long, kind byte, key long, data binary")
+    split = keep(df.select(doc_id.cast("long").alias("doc_id"), text.cast("string").alias("text")).mapInArrow(_split, "block long, kind byte, key long, word string, data binary"))
+    salt = F.shiftright("block", 32 + SALT_BITS).cast("int").alias("salt")
+    words = split.where(F.col("kind") == WORD).select("block", "key", "word", salt)
+    distinct = words.groupBy("word").agg(F.collect_set("salt").alias("salts"))
+    coded = distinct.mapInArrow(_encode_words(folder, name), "word string, salts array<int>, data binary").select("word", F.explode("salts").alias("salt"), "data")
+    ids = words.join(coded, ["word", "salt"]).select("block", F.lit(WORD).cast("byte").alias("kind"), "key", "data")
     docs = split.where(F.col("kind") == DOC).select("block", "kind", "key", "data")
     both = docs.unionByName(ids).repartition("block").sortWithinPartitions("block", "kind", "key")
     return both.mapInArrow(_assemble, "doc_id long, ids array<int>")
 
 
 def decode_corpus(df: DataFrame, doc_id: str = "doc_id", ids: str = "ids", name: str = "byte_bpe_50k", folder: str = TOKENIZERS) -> DataFrame:
-    """The texts of `ids`, as doc_id, text: the ids are joined with the table of token bytes, which is fixed per tokenizer.
+    """The texts of `ids`, as doc_id, text: the ids are joined with the table of token bytes, which is fixed per tokenizer and held
+    by every worker, so ids are looked up by their place in it and none is shuffled.
 
     Byte sequences that are not UTF-8 decode with U+FFFD; a null list gives a null text, an empty one an empty text. Ids
     without a token raise an error.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        table = ranks(folder, name)
-        tokens: list[bytes | None] = [None] * (max(table.values()) + 1)
-        for b, i in table.items():
-            tokens[i] = b
+        table = token_table(folder, name)
         for batch in batches:
-            texts = [None if x is None else b"".join([tokens[i] for i in x]).decode("utf-8", "replace") for x in batch.column(1).to_pylist()]
+            lists = batch.column(1)
+            found = table.take(lists.flatten())
+            if found.null_count:
+                raise ValueError("an id without a token")
+            ends = np.frombuffer(found.buffers()[1], np.int32, len(found) + 1, found.offset * 4)
+            data = found.buffers()[2]
+            data = memoryview(data) if data is not None else memoryview(b"")
+            first = np.r_[0, np.cumsum(pc.fill_null(pc.list_value_length(lists), 0).to_numpy())]
+            cut = ends[first].tolist()
+            texts = [None if n else str(data[a:b], "utf-8", "replace") for a, b, n in zip(cut[:-1], cut[1:], lists.is_null().to_pylist(), strict=True)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(texts, pa.string())], names=[doc_id, "text"])
 
     return df.select(doc_id, ids).mapInArrow(run, f"`{doc_id}` {df.schema[doc_id].dataType.simpleString()}, text string")
-
