@@ -33,6 +33,11 @@ def p7_overlaps(spark: SparkSession, folder: str) -> DataFrame:
     return _leaks(spark, folder).where("tolerant_words >= 12")
 
 
+def p8_method(spark: SparkSession, folder: str) -> DataFrame:
+    """What transformations learned from near-twins find by themselves."""
+    return garbled(table(spark, folder, "documents"), twins_only=True).select("doc_id")
+
+
 def p8_found(spark: SparkSession, folder: str) -> DataFrame:
     return garbled(table(spark, folder, "documents")).select("doc_id")
 
@@ -43,7 +48,7 @@ def p8_restored(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def text_queries() -> dict:
-    return {"p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_found": p7_found, "p7_overlaps": p7_overlaps, "p8_found": p8_found, "p8_restored": p8_restored}
+    return {"p6_ids": p6_ids, "p6_round_trip": p6_round_trip, "p7_found": p7_found, "p7_overlaps": p7_overlaps, "p8_method": p8_method, "p8_found": p8_found, "p8_restored": p8_restored}
 
 
 P6_ROUND_TRIP = "SELECT doc_id, coalesce(text, '') AS text FROM documents"

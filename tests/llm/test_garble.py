@@ -139,3 +139,23 @@ def test_undo_and_infer():
     assert ("cp1252", "utf-8") in g.infer("ÃƒÂ©", "é") and ("cp1251", "cp1252") in g.infer("aprиs", "après")
     assert [g.strange(x) for x in ("пример", "Пример", "РТЙНЕТ", "рТЙНЕТ", "ïðèìåð", "d’État", "s³aba", "naïve")] == [0, 0, 1, 2, 2, 0, 2, 0]
     assert g.odd("aprиs") and g.odd("s³aba") and not g.odd("naïve") and not g.odd("“word”") and not g.odd("теорема")
+
+
+def test_align():
+    assert g.align("aprиs dйjа", "après déjà") == [("и", "è"), ("й", "é"), ("а", "à")]
+    assert g.align("Ã©tÃ©â€”x", "été—x") == [("Ã©", "é"), ("Ã©", "é"), ("â€”", "—")]
+    assert g.align("ÃƒÂ©", "é") == [("ÃƒÂ©", "é")] and g.align("aé", "éa") is None and g.align("éèà", "éè") is None
+
+
+def test_a_transformation_outside_the_list_is_learned_from_twins(spark):
+    sign = str.maketrans({"é": "§", "è": "¶"})
+    rng = random.Random(8)
+    clean = [(i, clean_text("fr", i, rng)) for i in range(60)]
+    twins = [(100 + i, clean[i][1].translate(sign)) for i in range(8)]
+    alone = {200 + i: clean_text("fr", 200 + i, rng) for i in range(8)}
+    df = spark.createDataFrame(clean + twins + [(i, t.translate(sign)) for i, t in alone.items()], "doc_id long, text string")
+    for twins_only in (True, False):
+        got = g.garbled(df, twins_only=twins_only).persist()
+        assert {r["doc_id"] for r in got.collect()} == {100 + i for i in range(8)} | set(alone)
+    texts = {r["doc_id"]: r["text"] for r in g.restore(df, got).collect()}
+    assert all(texts[i] == t for i, t in alone.items())
