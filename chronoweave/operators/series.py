@@ -14,12 +14,14 @@ from dataclasses import dataclass, field, replace
 from datetime import datetime
 from fractions import Fraction
 from functools import reduce as fold
-from typing import Any
+from typing import TYPE_CHECKING, Any
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 from chronoweave.errors import FieldError, PipelineError, SeriesError, TimeError
 from chronoweave.functions import timekeys as tk
@@ -28,8 +30,13 @@ from chronoweave.functions.reducers import Reducer, reducer
 from chronoweave.functions.validity import as_number, numeric, valid
 from chronoweave.operators.neighbours import POS, add_neighbours, drop_neighbours
 
+if TYPE_CHECKING:
+    from chronoweave.plans.pipeline import Pipeline
+
 TIME, RANGE, INDEX = "time", "timerange", "index"
-INTERNAL = ("_t", "_e", "_k", "_ord")
+#: Of pushed streams: whether a row is no event, but ends its series.
+END = "_end"
+INTERNAL = ("_t", "_e", "_k", "_ord", END)
 
 #: Rows of one series are processed in time buckets of this length, so that a hot series is no task of its own; None: at once.
 SPLIT_MS = 86_400_000
@@ -130,6 +137,9 @@ class Index:
     def end(self) -> int:
         return self.timerange().end
 
+    def to_json(self) -> str:
+        return self.text
+
     def nice(self, form: str | None = None) -> str:
         """'September 17 2014', 'September', '2014', or the text; `form` is a format of strftime."""
         if "-" in self.text and tk.duration_ms(self.text):
@@ -235,6 +245,45 @@ class Series:
             raise SeriesError("a series needs time, begin and end, or index")
         return cls(df.select(*keys, rank.alias("_ord"), *data), kind, dict(meta or {}), tuple(by), split_ms, tz)
 
+    def pipeline(self) -> Pipeline:
+        """A pipeline over this series."""
+        from chronoweave.plans.pipeline import Pipeline
+
+        return Pipeline().from_source(self)
+
+    def add_event(self, key: datetime | int | str | TimeRange, payload: Mapping[str, Any] | Any) -> Series:
+        """This series with one more row, which arrived last. A plain value stands for {'value': it}; fields that the series does
+        not have are an error, those that are not given are null."""
+        row = payload if isinstance(payload, Mapping) else {"value": payload}
+        lost = [n for n in row if n not in self.columns()]
+        if lost:
+            raise FieldError(f"no such columns: {lost}")
+        if self.kind == INDEX:
+            head = {"_k": key} | dict(zip(("_t", "_e"), tk.range_of_index(str(key), self.tz), strict=True))
+        elif self.kind == RANGE:
+            span = TimeRange.of(key)
+            head = {"_t": span.begin, "_e": span.end}
+        else:
+            head = {"_t": tk.to_ms(key)}
+        fields = [self.df.schema[c] for c in (*self.keys, *self.columns())]
+        new = self.df.sparkSession.createDataFrame([tuple((head | dict(row)).get(f.name) for f in fields)], T.StructType([T.StructField(f.name, f.dataType) for f in fields]))
+        return self._arrived(new.withColumn("_ord", F.lit(0)))
+
+    def add_events(self, other: Series) -> Series:
+        """This series with the rows of another after its own, in the order of theirs."""
+        if other.kind != self.kind:
+            raise SeriesError("series of different kinds cannot be combined")
+        return self._arrived(other.df)
+
+    def _arrived(self, more: DataFrame) -> Series:
+        own = self.df.withColumn("_ord", F.struct(F.lit(0).alias("src"), F.struct("_ord").alias("a"), F.lit(None).cast(more.schema["_ord"].dataType).alias("b")))
+        new = more.withColumn("_ord", F.struct(F.lit(1).alias("src"), F.lit(None).cast(T.StructType([self.df.schema["_ord"]])).alias("a"), F.col("_ord").alias("b")))
+        return self.with_df(own.unionByName(new, allowMissingColumns=True))
+
+    def set_events(self, df: DataFrame | Series | None) -> Series:
+        """Other rows in place of this series' own, under its metadata; None for no rows."""
+        return self.with_rows(df if df is None or isinstance(df, Series) else self.with_df(df))
+
     def empty(self) -> Series:
         return self.with_df(self.df.limit(0))
 
@@ -651,6 +700,21 @@ class Series:
         cols = [F.transform(F.array_sort(F.collect_list(F.struct("_ord", self._field(n)[0].alias("v")))), lambda x: x["v"]).alias(n) for n in names]
         return self.df.groupBy(*self.by).agg(*cols)
 
+    def map_pairs(self, op: Callable[[dict], Mapping[str, Any]], returns: str = "double") -> DataFrame:
+        """`by`, `key`, `value`, `_ord`: the pairs that a Python function makes of every payload, over Arrow batches."""
+        kind = T._parse_datatype_string(returns)
+
+        def pairs(rows: pa.Array) -> pa.Array:
+            return pa.array([list(op(row).items()) for row in rows.to_pylist()], pa.map_(pa.string(), to_arrow_type(kind)))
+
+        made = F.arrow_udf(pairs, T.MapType(T.StringType(), kind))(F.struct(*[F.col(quoted((c,))) for c in self.columns()]))
+        return self.df.select(*self.by, "_ord", F.explode(made).alias("key", "value"))
+
+    def map_reduce(self, op: Callable[[dict], Mapping[str, Any]], how: Reducer | str, returns: str = "double") -> DataFrame:
+        """One row per series and key of `map_pairs` with the values reduced, in their order."""
+        kind = T._parse_datatype_string(returns)
+        return self.map_pairs(op, returns).groupBy(*self.by, "key").agg(reducer(how).over_rows(F.col("value"), kind, F.col("_ord")).alias("value"))
+
     def rows_by_key(self) -> DataFrame:
         """Key -> its rows, in order."""
         row = F.struct("_ord", *[F.col(quoted((c,))) for c in self.columns()])
@@ -803,9 +867,15 @@ class Series:
         """Rows of one key become one: later ones win, field by field; a null does not overwrite."""
         return merge([self])
 
-    def is_duplicate_key(self) -> Column:
-        """Whether the row's key occurs more than once."""
-        return F.count(F.lit(1)).over(Window.partitionBy(*self.by, *self.keys)) > 1
+    def is_duplicate(self, ignore_values: bool = True) -> DataFrame:
+        """The rows with `_duplicate`: whether the row's key occurs more than once; without `ignore_values`, key and payload."""
+        same = [*self.by, *self.keys, *([] if ignore_values else [c for c in self.columns() if c not in self.by])]
+        keys = [F.col(quoted((c,))) for c in same]
+        plain = [F.to_json(F.struct(k)) if isinstance(self.df.schema[c].dataType, T.MapType) else k for c, k in zip(same, keys, strict=True)]
+        # equal keys are counted before they meet, so a frequent one is no task of its own
+        often = self.df.groupBy(*[k.alias(f"__k{i}") for i, k in enumerate(plain)]).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1")
+        on = fold(lambda a, b: a & b, [k.eqNullSafe(F.col(f"__k{i}")) for i, k in enumerate(plain)])
+        return self.df.join(often, on, "left").withColumn("_duplicate", F.col("__n").isNotNull()).drop("__n", *[f"__k{i}" for i in range(len(plain))])
 
     def same(self, other: Series) -> bool:
         """Equal kind, metadata, and rows in order, by value."""
@@ -817,6 +887,20 @@ class Series:
             return False
         return a.exceptAll(b).isEmpty() and b.exceptAll(a).isEmpty()
 
+    # what only streams can do
+
+    def _bounded(self, what: str) -> None:
+        raise PipelineError(f"{what}: a series is no stream")
+
+    def start(self) -> None:
+        self._bounded("start")
+
+    def stop(self) -> None:
+        self._bounded("stop")
+
+    def on_emit(self, callback: Callable) -> None:
+        self._bounded("on_emit")
+
     # output
 
     def events(self) -> list[dict]:
@@ -825,6 +909,8 @@ class Series:
 
     def iterate(self, collect: bool = False) -> Iterator[dict]:
         """The rows in order; streamed partition by partition unless collected."""
+        if self.df.isStreaming:
+            raise PipelineError("a stream has no list of events")
         rows = self.ordered()
         for r in rows.collect() if collect else rows.toLocalIterator():
             d = r.asDict(recursive=True)

@@ -46,6 +46,27 @@ class Keyed:
         return self.df.groupBy("_key").agg(F.count(F.lit(1)).alias("size"))
 
 
+@dataclass
+class Output:
+    """Where rows go; `on_emit` replaces the function, also while a stream runs."""
+
+    callback: Callable[[dict], None]
+    observer: Callable[[int | None], None] | None = None
+    query: Any = None
+
+    def on_emit(self, callback: Callable[[dict], None]) -> Output:
+        self.callback = callback
+        return self
+
+    def give(self, s: Series) -> None:
+        n = 0
+        for e in s.iterate():
+            self.callback(e)
+            n += 1
+        if self.observer is not None:
+            self.observer(n or None)
+
+
 @dataclass(frozen=True)
 class Pipeline:
     """See the module."""
@@ -234,10 +255,18 @@ class Pipeline:
         """The rows as Python dicts in order; None if there are none."""
         return self.series().events() or None
 
-    def to(self, callback: Callable[[dict], None]) -> None:
-        """Every row to a function, in order, streamed to the driver."""
-        for e in self.series().iterate():
-            callback(e)
+    def to(self, callback: Callable[[dict], None], observer: Callable[[int | None], None] | None = None, checkpoint: str | None = None, once: bool = True) -> Output:
+        """Every row to a function, in order, streamed to the driver. A batch is given at once; of a stream, each micro-batch as it
+        comes (`checkpoint`, `once`: see `start`). The observer gets the number of rows at a batch's end, None for none."""
+        out = Output(callback, observer)
+        if self.mode == "stream":
+            from chronoweave.streaming.aggregate import start
+
+            s = self.series()
+            out.query = start(self, lambda df, _: out.give(s.with_df(df)), checkpoint, once)
+        else:
+            out.give(self.series())
+        return out
 
     def count(self) -> DataFrame:
         """Rows per window and group."""

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -28,11 +29,17 @@ def keep(df: DataFrame) -> DataFrame:
 
 
 def release() -> None:
-    """Frees what the operators have kept so far. Results that were not used yet stay right; they compute it again."""
+    """Frees what the operators have kept so far, and removes their intermediate files. Results that were not used yet and read
+    kept frames stay right, they compute them again; those that read files must have been used."""
     while _KEPT:
         df = _KEPT.pop()
         if df.sparkSession.sparkContext._jsc is not None:
             df.unpersist()
+    while _FOLDERS:
+        spark, folder = _FOLDERS.pop()
+        if spark.sparkContext._jsc is not None:
+            path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+            path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
 def plan_bytes(df: DataFrame) -> int:
@@ -79,6 +86,16 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return folder
 
 
+_FOLDERS: list[tuple[SparkSession, str]] = []
+
+
+def shared_folder(spark: SparkSession, name: str) -> str:
+    """A new folder for intermediate files in the shared folder; `release` removes it."""
+    folder = f"{checkpoint_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    _FOLDERS.append((spark, folder))
+    return folder
+
+
 def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str], rows: int = 50_000) -> Iterator[pd.DataFrame]:
     """Regroup the batches of a partition that is sorted by `keys`, so that no group is split between two frames.
 

@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 from fractions import Fraction
 
@@ -17,7 +16,7 @@ from chronoweave.operators import series as sr
 from chronoweave.operators.percentiles import interpolated
 from chronoweave.operators.series import Series, TimeRange
 from chronoweave.plans.pipeline import Pipeline, collect_by_window, rollup
-from chronoweave.plans.scale import checkpoint_dir
+from chronoweave.plans.scale import shared_folder
 from chronoweave.sources.tables import table
 from chronoweave.sources.wire import read_wire_files, write_wire
 from chronoweave.streaming import stateful
@@ -284,7 +283,7 @@ def merge_series(spark: SparkSession, d: str) -> DataFrame:
 
 def _hours(spark: SparkSession, d: str) -> list[Series]:
     s = events(spark, d, ())
-    return [rollup(s.filter(F.col("event_type") == k), "1h", {"n": {"event_id": r.count()}, "value": {"value": r.maximum()}}) for k in ("click", "purchase", "view")]
+    return [rollup(s.filter(F.col("event_type") == k), "1h", {"n": {"event_id": r.count()}, "value": {"value": r.maximum()}}) for k in ("click", "purchase", "view", "signup", "error")]
 
 
 def sum_series(spark: SparkSession, d: str) -> DataFrame:
@@ -401,7 +400,7 @@ def wire_points(spark: SparkSession, d: str) -> DataFrame:
 def wire_round_trip(spark: SparkSession, d: str) -> DataFrame:
     """Events as one wire document per user, written, read again and taken apart."""
     df = events(spark, d, ()).df.select(F.col("user_id").cast("string").alias("name"), "_t", "_ord", "event_id", "value", "event_type")
-    path = f"{checkpoint_dir(spark)}/wire-{uuid.uuid4().hex}"
+    path = shared_folder(spark, "wire")
     write_wire(df).select(F.col("wire").alias("value")).write.text(path)
     return read_wire_files(spark, path, "event_id long, value double, event_type string").select("name", F.col("_t").alias("t"), "event_id", "value", "event_type")
 
@@ -425,7 +424,7 @@ def _stream(spark: SparkSession, d: str, by: tuple[str, ...] = ("event_type",))
 
 def _collected(spark: SparkSession, p: Pipeline, mode: str | None = None) -> DataFrame:
     """What a stream gave, with `_batch`; written to files in the shared folder, not to the driver."""
-    base = f"{checkpoint_dir(spark)}/stream-{uuid.uuid4().hex}"
+    base = shared_folder(spark, "stream")
     q = start(p, lambda df, i: df.withColumn("_batch", F.lit(i)).write.mode("append").parquet(f"{base}/out"), f"{base}/state", mode=mode)
     q.awaitTermination()
     return spark.read.parquet(f"{base}/out")

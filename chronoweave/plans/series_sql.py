@@ -105,7 +105,7 @@ FROM (SELECT *, lag(t) {W} AS pt, lag({value}) {W} AS pv FROM {source}) WHERE pt
 
 
 _HOURS = """h AS (SELECT event_type, '1h-' || (t // 3600000) AS k, t // 3600000 * 3600000 AS t, (t // 3600000 + 1) * 3600000 AS e, count(*) AS n, max(value) AS value
-  FROM e WHERE event_type IN ('click', 'purchase', 'view') GROUP BY ALL)"""
+  FROM e GROUP BY ALL)"""
 
 _SPAN = "1704672000000", "1705276800000"
 _PROBE = 1_705_000_000_123

@@ -3,14 +3,16 @@
 from __future__ import annotations
 
 import json
+import warnings
 from collections.abc import Mapping
+from datetime import datetime
 from typing import Any
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from chronoweave.errors import SeriesError
+from chronoweave.errors import FieldError, SeriesError
 from chronoweave.functions import timekeys as tk
 from chronoweave.operators.series import INDEX, RANGE, TIME, Series, TimeRange
 
@@ -80,10 +82,37 @@ def read_wire(spark: SparkSession, doc: Mapping[str, Any] | str, schema: T.Struc
     return Series(spark.createDataFrame(rows, full), kind, {"name": "", "utc": True, **meta}, (), None, tz)
 
 
+class WireEncoder(json.JSONEncoder):
+    """JSON of series, ranges and indexes in the wire format; times become epoch milliseconds."""
+
+    def default(self, o: Any) -> Any:
+        if isinstance(o, datetime):
+            return tk.to_ms(o)
+        return o.to_json() if hasattr(o, "to_json") else super().default(o)
+
+
+def payload(value: Any) -> dict[str, Any]:
+    """A payload: a mapping as it is, a number, truth value or text as {'value': it}; anything else raises, None too."""
+    if isinstance(value, Mapping):
+        return dict(value)
+    if isinstance(value, (bool, int, float, str)):
+        return {"value": value}
+    raise FieldError(f"not a payload: {value!r}")
+
+
+def read_bag(spark: SparkSession, events: Any, kind: str = TIME, schema: T.StructType | str | None = None) -> Series:
+    """`read_events` of whatever comes: what is no list of (key, payload) pairs gives a warning and an empty series."""
+    fine = isinstance(events, (list, tuple)) and all(isinstance(e, (list, tuple)) and len(e) == 2 for e in events)
+    if not fine:
+        warnings.warn(f"not a list of events: {type(events).__name__}", stacklevel=2)
+    return read_events(spark, [(k, payload(v)) for k, v in events] if fine else [], kind, schema=schema)
+
+
 def read_events(spark: SparkSession, events: list[tuple[Any, Mapping[str, Any]]], kind: str = TIME, meta: Mapping[str, Any] | None = None, schema: T.StructType | str | None = None) -> Series:
     """A series of (key, payload) pairs in order; a payload that is a plain value stands for {'value': it}."""
     rows = [(k, v if isinstance(v, Mapping) else {"value": v}) for k, v in events]
-    names = list(dict.fromkeys(n for _, v in rows for n in v))
+    given = (T.StructType.fromDDL(schema) if isinstance(schema, str) else schema) if schema is not None else None
+    names = given.names if given is not None else list(dict.fromkeys(n for _, v in rows for n in v))
     return read_wire(spark, {**(meta or {}), "columns": [kind, *names], "points": [[k, *[v.get(n) for n in names]] for k, v in rows]}, schema)
 
 

@@ -19,7 +19,7 @@ from pyspark.sql.streaming import StreamingQuery
 
 from chronoweave.errors import PipelineError
 from chronoweave.functions import timekeys as tk
-from chronoweave.operators.series import INDEX, Series
+from chronoweave.operators.series import END, INDEX, Series
 
 if TYPE_CHECKING:
     from chronoweave.plans.pipeline import Pipeline
@@ -41,6 +41,8 @@ def stream_windows(p: Pipeline, s: Series, outs: list[Column]) -> Series:
     if not fixed and p.emit == "discard":
         raise PipelineError(f"{p.window_kind} windows of a stream cannot be emitted on 'discard'")
     first = F.min(s._order()).alias("_ord")
+    if END in s.df.columns:
+        s = s.with_df(s.df.where(~F.col(END)))
     if fixed:
         if "_wm" not in s.df.columns:
             s = with_watermark(s) if p.emit == "discard" else s.with_df(s.df.withColumn("_wm", F.timestamp_millis("_t")))
@@ -65,7 +67,10 @@ def start(p: Pipeline, sink: str | Callable[[DataFrame, int], None], checkpoint:
     """
     if p.mode != "stream":
         raise PipelineError("only pipelines over a stream can be started")
-    w = p.series().df.drop("_wm").writeStream.outputMode(mode or MODES[p.emit])
+    df = p.series().df
+    if END in df.columns:
+        df = df.where(~F.col(END)).drop(END)
+    w = df.drop("_wm").writeStream.outputMode(mode or MODES[p.emit])
     w = w.foreachBatch(sink) if callable(sink) else w.format("memory").queryName(sink)
     if checkpoint is not None:
         w = w.option("checkpointLocation", checkpoint)

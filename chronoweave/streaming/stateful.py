@@ -1,7 +1,8 @@
 """Streams of fill, align, rate and take: a step of `steps` per series, its state kept by Structured Streaming.
 
 Rows of a micro-batch are put in time order per series before they reach the step. A row that is earlier than one of a batch
-before it is late and is dropped, as its place in the output has gone. Output is in order within a batch.
+before it is late and is dropped, as its place in the output has gone. Output is in order within a batch. A row whose `_end` is
+true (see `push`) ends its series: what waits is given out.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 from chronoweave.errors import PipelineError
 from chronoweave.functions import timekeys as tk
 from chronoweave.functions.paths import Spec, spec
-from chronoweave.operators.series import RANGE, TIME, Series
+from chronoweave.operators.series import END, RANGE, TIME, Series
 from chronoweave.streaming.steps import AlignStep, FillStep, RateStep, TakeStep
 
 
@@ -31,7 +32,8 @@ def _run(s: Series, make: Any, data: list[str], fields: list[T.StructField], flu
     """The streaming frame of a step: `_key`, `_t`, then what the step gives."""
     keys = list(s.by) or ["_one"]
     df = s.df if s.by else s.df.withColumn("_one", F.lit(0))
-    cols = ["_t", "_ord", *data]
+    ends = END in df.columns
+    cols = ["_t", "_ord", *([END] if ends else []), *data]
     schema = T.StructType([df.schema[k] for k in keys] + [T.StructField("_t", T.LongType()), *fields])
     names = [f.name for f in fields]
 
@@ -43,10 +45,13 @@ def _run(s: Series, make: Any, data: list[str], fields: list[T.StructField], flu
         else:
             at, latest = pickle.loads(state.get[0]) if state.exists else (make(), None)
             x = pd.concat(list(frames), ignore_index=True).sort_values(["_t", "_ord"], kind="stable")
+            ended = ends and bool(x[END].fillna(False).any())
+            if ends:
+                x = x[~x[END].fillna(False).astype(bool)]
             if latest is not None:
                 x = x[x["_t"] >= latest]
             rows = [(int(r[0]), [_plain(v) for v in r[1:]]) for r in x[["_t", *data]].itertuples(index=False)]
-            out = at.push(rows)
+            out = at.push(rows) + (at.flush() if ended else [])
             latest = rows[-1][0] if rows else latest
             state.update((pickle.dumps((at, latest)),))
             if flush_after is not None:
