@@ -283,7 +283,7 @@ def merge_series(spark: SparkSession, d: str) -> DataFrame:
 
 def _hours(spark: SparkSession, d: str) -> list[Series]:
     s = events(spark, d, ())
-    return [rollup(s.filter(F.col("event_type") == k), "1h", {"n": {"event_id": r.count()}, "value": {"value": r.maximum()}}) for k in ("click", "purchase", "view", "signup", "error")]
+    return [rollup(s.filter(F.col("event_type") == k), "1h", {"n": {"event_id": r.count()}, "value": {"value": r.maximum()}}) for k in ("click", "error", "purchase", "signup", "view")]
 
 
 def sum_series(spark: SparkSession, d: str) -> DataFrame:
