@@ -7,6 +7,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -99,33 +100,39 @@ def shared_folder(spark: SparkSession, name: str) -> str:
 def whole_groups(batches: Iterator[pd.DataFrame], keys: list[str], rows: int = 50_000) -> Iterator[pd.DataFrame]:
     """Regroup the batches of a partition that is sorted by `keys`, so that no group is split between two frames.
 
-    A frame holds at least `rows` rows or is the last; more only where one group has more.
+    A frame holds about `rows` rows; more only where one group has more. Every row is copied once.
     """
     held: list[pd.DataFrame] = []
     n = 0
     for batch in batches:
         if batch.empty:
             continue
-        held.append(batch)
-        n += len(batch)
-        if n < rows:
-            continue
-        frame = pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
-        tail = frame[keys].iloc[-1]
-        same = None
+        # rows of the batch that share the key of its last one; they are its end
+        tail = batch[keys].iloc[-1]
+        same = np.ones(len(batch), bool)
         for k in keys:
-            eq = frame[k].isna() if pd.isna(tail[k]) else frame[k] == tail[k]
-            same = eq if same is None else same & eq
-        last = same.to_numpy()
-        if last.all():
-            held, n = [frame], len(frame)
+            same &= (batch[k].isna() if pd.isna(tail[k]) else batch[k] == tail[k]).to_numpy()
+        cut = len(batch) - int(same.sum())
+        if n + cut < rows or (cut == 0 and _ends_with(held, tail, keys)):
+            held.append(batch)
+            n += len(batch)
             continue
-        yield frame[~last].reset_index(drop=True)
-        held, n = [frame[last].reset_index(drop=True)], int(last.sum())
+        if cut:
+            held.append(batch.iloc[:cut])
+        yield pd.concat(held, ignore_index=True) if len(held) > 1 else held[0].reset_index(drop=True)
+        held, n = [batch.iloc[cut:].reset_index(drop=True)], len(batch) - cut
     if held:
         yield pd.concat(held, ignore_index=True) if len(held) > 1 else held[0]
 
 
+def _ends_with(held: list[pd.DataFrame], key: pd.Series, keys: list[str]) -> bool:
+    """Whether the last row held has a key; rows of one key are never told apart."""
+    if not held:
+        return True
+    last = held[-1][keys].iloc[-1]
+    return all((pd.isna(last[k]) and pd.isna(key[k])) or last[k] == key[k] for k in keys)
+
+
 def arrow_rows(columns: dict[str, object], schema: pa.Schema) -> pa.RecordBatch:
     """A record batch of numpy arrays or lists."""
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)

@@ -70,3 +70,34 @@ def test_pack_round_trip():
     assert all((x == y).all() for x, y in zip(unpack(pack(b, e, n)), (b, e, n), strict=True))
     k, b, e, n = unite(np.array([1, 0, 1]), np.array([5, 7, 0]), np.array([9, 8, 5]), np.array([1, 1, 1]))
     assert (k.tolist(), b.tolist(), e.tolist(), n.tolist()) == ([0, 1], [7, 0], [8, 9], [1, 2])
+
+
+def test_large_inputs_unite_in_salted_parts(spark, monkeypatch):
+    import random
+
+    from chronoweave.operators import periods
+
+    rng = random.Random(6)
+    rows = [(i, rng.choice(["a", "a", "a", None, "b"]), b := rng.randint(0, 900), b + rng.randint(-2, 30), 0) for i in range(400)]
+    monkeypatch.setattr(periods, "SPLIT_BYTES", 0)
+    monkeypatch.setattr(periods, "SALTS", 3)
+    monkeypatch.setattr(periods, "HELD_RUNS", 1)
+    assert run(spark, rows) == brute(rows)
+
+
+def test_whole_groups_never_splits_a_key():
+    import random
+
+    import pandas as pd
+
+    from chronoweave.plans.scale import whole_groups
+
+    rng = random.Random(3)
+    for rows in (1, 5, 40):
+        keys = sorted((rng.choice("abc"), rng.randint(0, 3)) for _ in range(60))
+        x = pd.DataFrame([(None if k == "c" else k, i, at) for at, (k, i) in enumerate(keys)], columns=["k", "i", "at"])
+        cuts = [0, *sorted(rng.sample(range(1, 60), 9)), 60]
+        got = list(whole_groups(iter([x.iloc[a:b] for a, b in zip(cuts, cuts[1:], strict=False)] + [x.iloc[:0]]), ["k", "i"], rows))
+        assert pd.concat(got)["at"].tolist() == list(range(60))
+        ends = [tuple(map(str, f[["k", "i"]].iloc[j])) for f in got for j in (0, -1)]
+        assert all(a != b for a, b in zip(ends[1::2], ends[2::2], strict=False))

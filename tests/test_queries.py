@@ -10,7 +10,7 @@ duckdb = pytest.importorskip("duckdb")
 import __spark_entry__ as entry  # noqa: E402
 
 FOLDER = "/root/testdata/sf0.001"
-NAMES = ["rollup_fixed_1d", "rollup_monthly_angeles", "group_window_agg", "agg_reducers", "agg_policies", "percentile_methods", "take_per_window_group", "fill_pad_limit", "fill_linear_limit", "align_limit", "rate_non_negative", "fill_align_rate", "merge_series", "combine_avg", "dedup_last", "crop", "slice_from_end", "as_of", "range_algebra", "index_ranges", "nice_index", "wire_points", "wire_round_trip", "stream_update", "p1_found", "p2_found", "p2_periods", "p3_found", "p3_regular", "p5_percentiles", "p5_merged_days"]
+NAMES = ["rollup_fixed_1d", "rollup_monthly_angeles", "group_window_agg", "agg_reducers", "agg_policies", "percentile_methods", "take_per_window_group", "fill_pad_limit", "fill_linear_limit", "align_limit", "rate_non_negative", "fill_align_rate", "merge_series", "combine_avg", "dedup_last", "crop", "slice_from_end", "as_of", "range_algebra", "index_ranges", "nice_index", "wire_points", "wire_round_trip", "stream_update", "event_bag", "appended", "pipeline_builder", "map_pairs", "user_reducer", "event_keys", "iterated", "encoded", "range_values", "fill_linear_many", "duplicates", "refused", "push_fill_linear", "stream_fill_linear", "push_counts", "stream_late", "p1_found", "p2_found", "p2_periods", "p3_found", "p3_regular", "p5_percentiles", "p5_merged_days"]
 
 pytestmark = pytest.mark.skipif(not Path(FOLDER).exists(), reason="no test tables here")
 
