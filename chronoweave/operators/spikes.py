@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 
 from chronoweave.operators.cells import DAY_MS
 from chronoweave.operators.percentiles import values_at_ranks
-from chronoweave.plans.scale import keep, sized_broadcast, whole_groups
+from chronoweave.plans.scale import cut, settled, sized_broadcast, whole_groups
 
 #: Places of a source that are charted together, and those that a segment sees beyond its own on either side.
 SEGMENT, HALO = 1024, 256
@@ -334,8 +334,8 @@ def _judge_parts(rules: SpikeRules, by_chart: bool):
     return run
 
 
-def _units(good: DataFrame, chunk_rows: int, bucket_ms: int) -> tuple[DataFrame, DataFrame] | None:
-    """Of the sources of more than `chunk_rows` rows: the rows, each with `start`, the begin of its time unit, and (h_name, h_start,
+def _units(good: DataFrame, chunk_rows: int, bucket_ms: int) -> tuple[DataFrame, DataFrame, DataFrame] | None:
+    """Of the sources of more than `chunk_rows` rows: their names, the rows, each with `start`, the begin of its time unit, and (h_name, h_start,
     chunk, before): the chunks that need a unit, and the number of rows before it. None without such sources.
 
     Units are buckets of `bucket_ms`; where one holds more than a part of a chunk it is counted by seconds, and such seconds by
@@ -346,23 +346,23 @@ def _units(good: DataFrame, chunk_rows: int, bucket_ms: int) -> tuple[DataFrame,
     days = good.groupBy("name", day.alias("start")).agg(F.count(F.lit(1)).alias("n"))
     total = F.sum("n").over(Window.partitionBy("name"))
     hot = days.withColumn("total", total).where(F.col("total") > chunk_rows).select("name", "start", "n")
-    hot = keep(hot)
+    hot, _ = settled(hot)
     if hot.isEmpty():
         return None
-    names = hot.select(F.col("name").alias("h_name")).distinct()
-    rows = good.join(sized_broadcast(names), F.col("name").eqNullSafe(F.col("h_name"))).drop("h_name").withColumn("start", day).withColumn("day", day)
+    names = sized_broadcast(hot.select(F.col("name").alias("h_name")).distinct())
+    rows = good.join(names, F.col("name").eqNullSafe(F.col("h_name"))).drop("h_name").withColumn("start", day).withColumn("day", day)
     # a unit keeps the bucket that it lies in, so that running counts are taken per bucket first
     units = hot.withColumn("day", F.col("start"))
     for length in (1_000, 1):
-        heavy = units.where(F.col("n") > most).select(F.col("name").alias("x_name"), F.col("start").alias("x_start"))
+        heavy, few = settled(units.where(F.col("n") > most).select(F.col("name").alias("x_name"), F.col("start").alias("x_start")))
         if heavy.isEmpty():
             break
+        heavy = F.broadcast(heavy) if few else heavy
         on = F.col("name").eqNullSafe(F.col("x_name")) & (F.col("start") == F.col("x_start"))
-        rows = rows.join(sized_broadcast(heavy), on, "left").withColumn("start", F.when(F.col("x_start").isNotNull(), F.floor(F.col("ms") / F.lit(length)) * F.lit(length)).otherwise(F.col("start"))).withColumn("split", F.col("x_start").isNotNull()).drop("x_name", "x_start")
+        rows = rows.join(heavy, on, "left").withColumn("start", F.when(F.col("x_start").isNotNull(), F.floor(F.col("ms") / F.lit(length)) * F.lit(length)).otherwise(F.col("start"))).withColumn("split", F.col("x_start").isNotNull()).drop("x_name", "x_start")
         finer = rows.where("split").groupBy("name", "day", "start").agg(F.count(F.lit(1)).alias("n"))
         rows = rows.drop("split")
-        units = units.join(heavy, on, "left_anti").unionByName(finer.select("name", "start", "n", "day"))
-    units = keep(units)
+        units, _ = settled(units.join(heavy, on, "left_anti").unionByName(finer.select("name", "start", "n", "day")))
     within = Window.partitionBy("name", "day").orderBy("start")
     per = units.groupBy("name", "day").agg(F.sum("n").alias("all"))
     offset = per.withColumn("offset", F.sum("all").over(Window.partitionBy("name").orderBy("day")) - F.col("all")).withColumn("total", F.sum("all").over(Window.partitionBy("name")))
@@ -372,7 +372,7 @@ def _units(good: DataFrame, chunk_rows: int, bucket_ms: int) -> tuple[DataFrame,
     reach = SEGMENT + HALO
     first = F.floor(F.greatest(before - reach, F.lit(0)) / chunk_rows)
     last = F.least(F.floor((before + F.col("n") - 1 + reach) / chunk_rows), F.floor((F.col("total") - 1) / chunk_rows))
-    return rows.drop("day"), placed.select(F.col("name").alias("h_name"), F.col("start").alias("h_start"), F.explode(F.sequence(first, last)).alias("chunk"), before.alias("before"))
+    return names, rows.drop("day"), placed.select(F.col("name").alias("h_name"), F.col("start").alias("h_start"), F.explode(F.sequence(first, last)).alias("chunk"), before.alias("before"))
 
 
 def flag_readings(df: DataFrame, reading_id: Column, name: Column, ms: Column, value: Column, limit: Column, missing: Column, rules: SpikeRules | None = None, chunk_rows: int = CHUNK_ROWS, bucket_ms: int = DAY_MS, by_chart: bool = False) -> DataFrame:
@@ -388,18 +388,17 @@ def flag_readings(df: DataFrame, reading_id: Column, name: Column, ms: Column, v
     """
     rules = rules or SpikeRules()
     good = df.where(~missing).select(reading_id.alias("reading_id"), name.alias("name"), ms.alias("ms"), value.alias("value"), limit.cast("double").alias("limit")).where("ms is not null")
-    cut = _units(good, chunk_rows, bucket_ms)
+    large = _units(good, chunk_rows, bucket_ms)
     short = good
-    if cut is not None:
-        rows, chunks = cut
-        names = sized_broadcast(chunks.select("h_name").distinct())
+    if large is not None:
+        names, rows, chunks = large
         short = good.join(names, F.col("name").eqNullSafe(F.col("h_name")), "left_anti")
     short = short.select("reading_id", "name", "ms", "value", "limit", F.lit(0).cast("long").alias("chunk"), F.lit(0).cast("long").alias("before"))
     flags = short.repartition("name").sortWithinPartitions("name", "ms", "reading_id").mapInPandas(_flag_whole(rules, by_chart), _FLAGS)
-    if cut is None:
+    if large is None:
         return flags
     long = rows.join(sized_broadcast(chunks), F.col("name").eqNullSafe(F.col("h_name")) & (F.col("start") == F.col("h_start"))).select("reading_id", "name", "ms", "value", "limit", "chunk", "before")
-    parts = keep(long.repartition("name", "chunk").sortWithinPartitions("name", "chunk", "ms", "reading_id").mapInPandas(_chart_parts(rules, chunk_rows), _PARTS))
+    parts = cut(long.repartition("name", "chunk").sortWithinPartitions("name", "chunk", "ms", "reading_id").mapInPandas(_chart_parts(rules, chunk_rows), _PARTS))
     stats = sized_broadcast(_source_stats(parts))
     marked = parts.where("seg >= 0").join(stats, F.col("name").eqNullSafe(F.col("s_name"))).select("name", "chunk", "seg", "rank", "reading_id", "ms", "away", "flag", "lone", "scatter", "idle")
     # a segment's impossible and stuck readings have no place in its order (rank -1) and come first

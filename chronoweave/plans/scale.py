@@ -10,14 +10,11 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from chronoweave.functions.paths import quoted
-
-#: A side of a join is broadcast only if its values were measured and have at most this many bytes.
-BROADCAST_BYTES = 32 << 20
+#: A side of a join is broadcast only if it was brought to the driver and has at most so many rows and bytes there.
+BROADCAST_ROWS, BROADCAST_BYTES = 200_000, 32 << 20
 
 
 _KEPT: list[DataFrame] = []
@@ -48,29 +45,24 @@ def plan_bytes(df: DataFrame) -> int:
     return int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
 
 
-def _row_bytes(df: DataFrame) -> Column:
-    """Bytes of a row: 16 for itself and for each value, and the length of texts, bytes and nested values."""
-    size = F.lit(16).cast("long")
-    for f in df.schema:
-        c = F.col(quoted((f.name,)))
-        if isinstance(f.dataType, (T.StringType, T.BinaryType)):
-            c = F.octet_length(c)
-        elif isinstance(f.dataType, (T.ArrayType, T.MapType, T.StructType)):
-            c = F.octet_length(F.to_json(F.struct(c)))
-        else:
-            c = F.lit(0)
-        size = size + F.lit(16) + F.coalesce(c, F.lit(0))
-    return size
+def settled(small: DataFrame) -> tuple[DataFrame, bool]:
+    """A small frame as a local table, which cuts its lineage, and whether it was small; else the frame as it is."""
+    held = small.limit(BROADCAST_ROWS + 1).toArrow()
+    if held.num_rows > BROADCAST_ROWS or held.nbytes > BROADCAST_BYTES:
+        return small, False
+    return small.sparkSession.createDataFrame(held, small.schema), True
 
 
-def sized_broadcast(small: DataFrame, limit: int = BROADCAST_BYTES) -> DataFrame:
-    """Hint a broadcast of `small` if its measured bytes are at most `limit`, else leave the join to Catalyst.
+def sized_broadcast(small: DataFrame) -> DataFrame:
+    """A broadcast of `small` if its rows and bytes were measured to be few, else the join is left to Catalyst."""
+    held, fits = settled(small)
+    return F.broadcast(held) if fits else held
 
-    The side is persisted, so measuring and joining compute it once; `release` frees it.
-    """
-    kept = keep(small)
-    size = kept.agg(F.sum(_row_bytes(kept)).alias("b")).first()["b"] or 0
-    return F.broadcast(kept) if size <= limit else kept
+
+def cut(df: DataFrame) -> DataFrame:
+    """A frame that is used several times, written to the shared checkpoint folder; its plan ends there."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint()
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
