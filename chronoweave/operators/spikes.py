@@ -338,7 +338,7 @@ def _units(good: DataFrame, chunk_rows: int, bucket_ms: int) -> tuple[DataFrame,
     """Of the sources of more than `chunk_rows` rows: their names, the rows, each with `start`, the begin of its time unit, and (h_name, h_start,
     chunk, before): the chunks that need a unit, and the number of rows before it. None without such sources.
 
-    Units are buckets of `bucket_ms`; where one holds more than a part of a chunk it is counted by seconds, and such seconds by
+    Units are buckets of `bucket_ms`; one that holds more than a part of a chunk is cut into finer ones, again and again, down to
     milliseconds. Every row counts, so a place in the source is the same for all who count.
     """
     day = F.floor(F.col("ms") / F.lit(bucket_ms)) * F.lit(bucket_ms)
@@ -352,17 +352,21 @@ def _units(good: DataFrame, chunk_rows: int, bucket_ms: int) -> tuple[DataFrame,
     names = sized_broadcast(hot.select(F.col("name").alias("h_name")).distinct())
     rows = good.join(names, F.col("name").eqNullSafe(F.col("h_name"))).drop("h_name").withColumn("start", day).withColumn("day", day)
     # a unit keeps the bucket that it lies in, so that running counts are taken per bucket first
-    units = hot.withColumn("day", F.col("start"))
-    for length in (1_000, 1):
-        heavy, few = settled(units.where(F.col("n") > most).select(F.col("name").alias("x_name"), F.col("start").alias("x_start")))
+    units = hot.withColumn("day", F.col("start")).withColumn("len", F.lit(bucket_ms).cast("long"))
+    while True:
+        # a heavy unit of n rows is cut into 2^k parts of equal length, the least power that would leave few enough in each
+        parts = F.pow(F.lit(2.0), F.ceil(F.log2(F.col("n") / most)))
+        heavy = units.where((F.col("n") > most) & (F.col("len") > 1))
+        heavy, few = settled(heavy.select(F.col("name").alias("x_name"), F.col("start").alias("x_start"), F.greatest(F.lit(1).cast("long"), (F.col("len") / parts).cast("long")).alias("x_len")))
         if heavy.isEmpty():
             break
         heavy = F.broadcast(heavy) if few else heavy
         on = F.col("name").eqNullSafe(F.col("x_name")) & (F.col("start") == F.col("x_start"))
-        rows = rows.join(heavy, on, "left").withColumn("start", F.when(F.col("x_start").isNotNull(), F.floor(F.col("ms") / F.lit(length)) * F.lit(length)).otherwise(F.col("start"))).withColumn("split", F.col("x_start").isNotNull()).drop("x_name", "x_start")
-        finer = rows.where("split").groupBy("name", "day", "start").agg(F.count(F.lit(1)).alias("n"))
-        rows = rows.drop("split")
-        units, _ = settled(units.join(heavy, on, "left_anti").unionByName(finer.select("name", "start", "n", "day")))
+        inner = F.col("start") + F.floor((F.col("ms") - F.col("start")) / F.col("x_len")) * F.col("x_len")
+        rows = rows.join(heavy, on, "left").withColumn("start", F.coalesce(inner, F.col("start"))).withColumn("len", F.col("x_len")).drop("x_name", "x_start", "x_len")
+        finer = rows.where("len is not null").groupBy("name", "day", "start", "len").agg(F.count(F.lit(1)).alias("n"))
+        rows = rows.drop("len")
+        units, _ = settled(units.join(heavy, on, "left_anti").unionByName(finer))
     within = Window.partitionBy("name", "day").orderBy("start")
     per = units.groupBy("name", "day").agg(F.sum("n").alias("all"))
     offset = per.withColumn("offset", F.sum("all").over(Window.partitionBy("name").orderBy("day")) - F.col("all")).withColumn("total", F.sum("all").over(Window.partitionBy("name")))
