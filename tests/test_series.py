@@ -397,3 +397,57 @@ def test_heavy_buckets_are_halved_and_change_nothing(spark, monkeypatch, split_r
     probes = Series.from_frame(df.where("id % 7 = 0").withColumn("ms", F.col("ms") + 3).drop("value"), time="ms", order="id", by=("name",))
     a, b = (Series.from_frame(df.where("ms is not null"), time="ms", order="id", by=("name",), split_ms=x).as_of(probes) for x in (None, 86_400_000))
     assert sorted(map(str, a.collect())) == sorted(map(str, b.collect()))
+
+
+def test_events_are_added_after_those_that_were_there(spark):
+    s = read_events(spark, [(1000, 1.0), (2000, 2.0)])
+    more = s.add_event(500, 3.0).add_event(500, {"value": 4.0}).add_events(s)
+    assert [(e["time"], e["value"]) for e in more.events()] == [(1000, 1.0), (2000, 2.0), (500, 3.0), (500, 4.0), (1000, 1.0), (2000, 2.0)]
+    assert [e["value"] for e in more.sort_by_time().events()] == [3.0, 4.0, 1.0, 1.0, 2.0, 2.0]
+    spans = read_events(spark, [([0, 10], 1.0)], "timerange").add_event([5, 6], 2.0)
+    days = read_events(spark, [("1d-3", 1.0)], "index").add_event("1d-2", 2.0)
+    assert spans.events()[1] == {"timerange": [5, 6], "value": 2.0} and days.events()[1] == {"index": "1d-2", "value": 2.0}
+    assert days.df.where("_k = '1d-2'").first()["_t"] == 2 * 86_400_000
+    with pytest.raises(FieldError):
+        s.add_event(1, {"other": 1})
+    with pytest.raises(SeriesError):
+        s.add_events(spans)
+    assert s.set_events(None).events() == [] and s.set_events(more).size() == 6
+
+
+def test_duplicates_by_key_and_payload(spark):
+    s = read_events(spark, [(1, 1.0), (1, 2.0), (2, 5.0), (2, 5.0), (3, None), (3, None), (4, 1.0)])
+    assert [r["_duplicate"] for r in s.is_duplicate().orderBy("_ord").collect()] == [True] * 6 + [False]
+    assert [r["_duplicate"] for r in s.is_duplicate(ignore_values=False).orderBy("_ord").collect()] == [False, False, True, True, True, True, False]
+
+
+def test_pairs_of_a_function_are_reduced(spark):
+    s = read_events(spark, [(1, {"a": 1.0, "b": 2.0}), (2, {"a": None, "b": 4.0})])
+    x = s.map_reduce(lambda row: {"b": row["b"]} | ({"a": row["a"]} if row["a"] is not None else {}), r.avg())
+    assert sorted((y["key"], y["value"]) for y in x.collect()) == [("a", 1.0), ("b", 3.0)]
+    assert s.map_pairs(lambda row: {}).count() == 0
+    assert Pipeline().from_source(s).group_by(lambda row: None if row["a"] is None else f"{row['a']:.0f}").aggregate({"n": {"b": r.count()}}).series().df.where("_group is null").first()["n"] == 1
+
+
+def test_outputs_and_their_observers(spark):
+    seen, ends = [], []
+    p = Pipeline().from_source(read_events(spark, [(1, 1.0), (2, 2.0)]))
+    p.to(seen.append, ends.append).on_emit(print)
+    Pipeline().from_source(p.series().empty()).to(seen.append, ends.append)
+    assert [e["value"] for e in seen] == [1.0, 2.0] and ends == [2, None]
+
+
+def test_broadcasts_are_measured(spark, monkeypatch):
+    from chronoweave.plans import scale
+
+    df = spark.range(100).selectExpr("id", "repeat('x', 100) AS s")
+    assert scale.settled(df)[1] and scale.settled(df)[0].count() == 100
+    monkeypatch.setattr(scale, "BROADCAST_BYTES", 5_000)
+    assert not scale.settled(df)[1]
+    monkeypatch.setattr(scale, "BROADCAST_BYTES", 1 << 20)
+    monkeypatch.setattr(scale, "BROADCAST_ROWS", 99)
+    assert not scale.settled(df)[1] and "broadcast" not in scale.sized_broadcast(df)._jdf.queryExecution().logical().toString().lower()
+    kept = scale.keep(df)
+    assert kept.is_cached
+    scale.release()
+    assert not df.is_cached or not df.storageLevel.useMemory
