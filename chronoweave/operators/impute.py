@@ -40,7 +40,7 @@ def fill_from_similar(df: DataFrame, row_id: str, group: Iterable[str], targets:
     group = list(group)
     model = fit_prototypes(df, numeric, categorical, k, steps)
     kinds = dict(df.dtypes)
-    seen = df.withColumn("__cluster", model.cluster())
+    seen = model.assign(df, "__cluster")
     for f, missing in targets.items():
         seen = seen.withColumn(f"__gone_{f}", F.coalesce(missing, F.lit(False)))
     keyed = F.lit(True)

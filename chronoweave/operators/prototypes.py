@@ -34,22 +34,29 @@ class Prototypes:
     grid: float
     features: dict[str, Column] = field(compare=False, repr=False)
 
-    def cluster(self) -> Column:
-        """The number of the nearest centroid, by observed features only; null features add nothing."""
+    def cluster(self, seen: dict[str, Column] | None = None) -> Column:
+        """The number of the nearest centroid, by observed features only; null features add nothing. `seen`: columns that hold
+        the scaled numeric and the categorical features already."""
         if not self.centroids:
             return F.lit(0)
-        spots = {name: self._scaled(name) for name in self.scales}
+        seen = seen or {n: self._scaled(n) for n in self.scales} | {n: self.features[n] for n in self.categories}
         costs = []
         for i, c in enumerate(self.centroids):
             # a row's observed features are the same for all centroids, so the mean over them orders these as the sum does
-            terms = [F.coalesce(F.pow(spots[n] - F.lit(float(c[n])), 2), F.lit(0.0)) for n in self.scales]
-            terms += [F.coalesce(F.when(self.features[n] != F.lit(c[n]), F.lit(self.gamma)), F.lit(0.0)) for n in self.categories if c[n] is not None]
+            terms = [F.coalesce(F.pow(seen[n] - F.lit(float(c[n])), 2), F.lit(0.0)) for n in self.scales]
+            terms += [F.coalesce(F.when(seen[n] != F.lit(c[n]), F.lit(self.gamma)), F.lit(0.0)) for n in self.categories if c[n] is not None]
             cost = terms[0] if terms else F.lit(0.0)
             for t in terms[1:]:
                 cost = cost + t
             costs.append(F.named_struct(F.lit("cost"), cost, F.lit("i"), F.lit(i)))
         return F.least(*costs)["i"] if len(costs) > 1 else F.lit(0)
 
+    def assign(self, df: DataFrame, name: str) -> DataFrame:
+        """`df` with the cluster as column `name`. Every feature is computed once per row, not once per centroid."""
+        held = {n: f"__seen_{i}" for i, n in enumerate((*self.scales, *self.categories))}
+        x = df.withColumns({held[n]: self._scaled(n) for n in self.scales} | {held[n]: self.features[n] for n in self.categories})
+        return x.withColumn(name, self.cluster({n: F.col(c) for n, c in held.items()})).drop(*held.values())
+
     def _scaled(self, name: str) -> Column:
         return _on_grid(self.features[name], *self.scales[name], self.grid)
 
